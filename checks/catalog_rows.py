@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -67,15 +69,13 @@ def _(spark, sf):
     return readers.read_node_table(spark, path)
 
 
-@query("export_error_matrix", EN + f"SELECT node, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, {r('e')} AS e FROM en")
+@query("export_error_matrix", EN + f"SELECT node, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, {r('e')} AS e FROM en WHERE win % 24 = 0")
 def _(spark, sf):
-    """All errors out to a wide table (a column per step) and back to rows."""
-    errs = E.err_node(errors(spark, sf))
-    span = G.dates_range(errs).first()
-    axis = spark.createDataFrame([tuple(span)], "a timestamp, b timestamp").select(
-        F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("t")
-    )
-    times = [row.t for row in axis.select(S.format_ts("t").alias("t")).collect()]  # column names
+    """Errors of daily windows out to a wide table (a column per window) and back to rows."""
+    errs = E.err_node(profile_errors(faulty(spark, sf), CHANNELS, slide=24))
+    last = G.dates_range(errs).first()
+    days = (last.end_ts - last.start_ts).days
+    times = [f"{last.start_ts + timedelta(days=d):%Y-%m-%d %H:%M:%S}" for d in range(days + 1)]
     path = work_path(spark, "matrix")
     writers.export_error_matrix(errs, times, path)
     return SC.to_long(spark.read.parquet(path), ["node"], times, "e").withColumnRenamed("channel", "at")
