@@ -20,7 +20,7 @@ from fleetgauge.operators import windows as WN
 from fleetgauge.operators.reconstruct import apply_profile, fit_profile
 from fleetgauge.plans.realtime import profile_errors
 from fleetgauge.schema import CHANNELS
-from fleetgauge.session import work_path
+from fleetgauge.session import work_path, written
 from fleetgauge.sources import readers, writers
 
 ALL = each(r("@") + " AS @")
@@ -217,8 +217,7 @@ def _(spark, sf):
     {r(f'CAST(min({c}) AS DOUBLE)')} AS min, {r(f'quantile_cont({c}, 0.25)')} AS q25, {r(f'quantile_cont({c}, 0.5)')} AS q50,
     {r(f'quantile_cont({c}, 0.75)')} AS q75, {r(f'CAST(max({c}) AS DOUBLE)')} AS max FROM tel""" for c in CH))
 def _(spark, sf):
-    tel = telemetry(spark, sf).withColumn("cpus_alloc", F.col("cpus_alloc").cast("double"))
-    return G.union_nodes(*[B.describe(tel, c) for c in CHANNELS])
+    return B.describe(written(telemetry(spark, sf)), CHANNELS)
 
 
 @query("check_aligned", TEL + """, a AS (SELECT node, count(*) AS n FROM tel GROUP BY node),

@@ -94,7 +94,7 @@ def _(spark, sf):
 @query("hier_clusters")
 def _(spark, sf):
     s = series(spark, sf)
-    return C.cut_linkage(s, C.linkage_table(s, N.within(s, 1.2), "single"), 7)
+    return C.cut_linkage(s, C.spanning_edges(s, N.within(s, RADIUS)), 7)
 
 
 @query("dtw_kmeans")

@@ -460,13 +460,13 @@ _HALF = with_("nrm") + """, wn AS (SELECT node, i - 23 AS w0, ts - INTERVAL 23 H
 """
 
 
-@query("score_series", _HALF + "SELECT node, win, ts, " + ", ".join(_three(r(m + "_@") + f" AS {m}_@") for m in ("l1", "l2"))
-       + ", " + ", ".join(f"{r('(' + _three(m + '_@', ' + ') + ') / 3')} AS {m}" for m in ("l1", "l2")) + " FROM hv")
+@query("score_series", _HALF + "SELECT node, win, ts, " + ", ".join(_three(r(m + "_@", 8) + f" AS {m}_@") for m in ("l1", "l2"))
+       + ", " + ", ".join(f"{r('(' + _three(m + '_@', ' + ') + ') / 3', 8)} AS {m}" for m in ("l1", "l2")) + " FROM hv", digits=8)
 def _(spark, sf):
     return RC.score_series(scaled(spark, sf), _halves, THREE, 24, 6)
 
 
-@query("score_windows", _HALF + f"SELECT node, win, ts, {_three(r('l1_@') + ' AS l1_@')}, {r('(' + _three('l1_@', ' + ') + ') / 3')} AS l1 FROM hv")
+@query("score_windows", _HALF + f"SELECT node, win, ts, {_three(r('l1_@', 8) + ' AS l1_@')}, {r('(' + _three('l1_@', ' + ') + ') / 3', 8)} AS l1 FROM hv", digits=8)
 def _(spark, sf):
     wins = WN.sliding_windows(scaled(spark, sf), THREE, 24, 6)
     return E.array_errors(RC.score_windows(wins, _halves, THREE), THREE)

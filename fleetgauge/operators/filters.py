@@ -61,18 +61,17 @@ def active_nodes(df: DataFrame, floor: float = 0.001) -> DataFrame:
     return busy.groupBy("node").agg(F.count("*").alias("active_steps"))
 
 
-def describe(df: DataFrame, column: str) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of one column."""
-    quartiles = exact_percentiles(df, [], column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    q = quartiles.first()
-    x = F.col(column)
-    return df.agg(
-        F.count(x).alias("n"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-    ).select(
-        F.lit(column).alias("channel"), "n", "mean", "std", "min",
-        *[F.lit(q[name]).alias(name) for name in ("q25", "q50", "q75")], "max",
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, mean, sample deviation, extremes and exact quartiles, a row per column."""
+    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "channel", "x")
+    basic = long.groupBy("channel").agg(
+        F.count("x").alias("n"),
+        F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"),
+        F.max("x").alias("max"),
+    )
+    quartiles = exact_percentiles(long, ["channel"], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return basic.join(quartiles, "channel").select(
+        "channel", "n", "mean", "std", "min", "q25", "q50", "q75", "max"
     )

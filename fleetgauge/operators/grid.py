@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.functions.blocks import BLOCK
 from fleetgauge.functions.numbering import number_rows
 
 
@@ -32,8 +33,9 @@ def time_grid(
     """Every machine at every step from the first to the last reading: node, ts, i, channels.
 
     Readings must hold at most one row per (node, ts), with ts on the grid. The two ends of the
-    axis are read first (one row, or the caller's `bounds`). The axis is laid out
-    in two explodes (spans, then steps of a span) so no row ever carries a whole history.
+    axis are read first (one row, or the caller's `bounds`). The axis unfolds in two explodes:
+    machines into spans, which are spread over the tasks, then spans into steps right where the
+    readings of the same span lie, so the unfolded steps are never shuffled.
     """
     if bounds is None:
         bounds = dates_range(readings)
@@ -43,20 +45,25 @@ def time_grid(
     if steps is None:
         return readings.select("node", "ts", F.lit(0).alias("i"), *channels)
     start, last = F.timestamp_seconds(F.lit(first)), F.lit(steps)
-    span = 4096
+    span = BLOCK
+    parts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     axis = (
         readings.select("node")
         .distinct()
         .select("node", F.explode(F.sequence(F.lit(0), F.lit(steps // span))).alias("_b"))
+        .repartition(parts, "node", "_b")
         .select(
             "node",
+            "_b",
             F.explode(
                 F.sequence(F.col("_b") * span, F.least((F.col("_b") + 1) * span - 1, last))
             ).alias("i"),
         )
     )
-    values = readings.select("node", step_of(F.col("ts"), start, seconds).alias("i"), *channels)
-    out = axis.join(values, ["node", "i"], "left")
+    step = step_of(F.col("ts"), start, seconds)
+    values = readings.select("node", F.floor(step / span).cast("int").alias("_b"), step.alias("i"), *channels)
+    values = values.repartition(parts, "node", "_b")
+    out = axis.join(values, ["node", "_b", "i"], "left")
     ts = F.timestamp_seconds(F.lit(first) + F.col("i").cast("long") * seconds)
     filled = [F.col(c) if fill is None else F.coalesce(c, F.lit(fill)).alias(c) for c in channels]
     return out.select("node", ts.alias("ts"), "i", *filled)

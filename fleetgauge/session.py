@@ -18,11 +18,18 @@ def build_session(app: str = "fleetgauge", master: str | None = None, **conf: ob
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the operators rely on: UTC clock, skew splitting also ahead of a further exchange."""
+    """Settings the operators rely on.
+
+    UTC clock; skewed partitions are split also ahead of a further exchange; tables laid out by
+    (node, span) are joined on (node, span, step) without a new exchange; small shuffles keep
+    enough partitions for all cores, as a few wide rows may unfold into many.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
 
 
