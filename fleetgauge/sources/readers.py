@@ -10,6 +10,14 @@ from fleetgauge.functions.scalars import node_from_path, parse_ts
 from fleetgauge.schema import INCIDENT_TEXT, TELEMETRY
 
 
+def _time(df: DataFrame, column: str):
+    """Timestamp column; nanosecond files (as pandas writes them) come in as whole numbers."""
+    c = F.col(column)
+    if isinstance(df.schema[column].dataType, T.LongType):
+        c = F.timestamp_micros(F.floor(c / 1000))
+    return c.cast("timestamp").alias("ts")
+
+
 def read_raw(
     spark: SparkSession,
     path: str,
@@ -20,9 +28,10 @@ def read_raw(
 ) -> DataFrame:
     """Long readings: `node, ts` and the channels (output name -> source column)."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(path).select(
+    raw = reader.parquet(path)
+    return raw.select(
         F.col(host).cast("string").alias("node"),
-        F.col(time).cast("timestamp").alias("ts"),
+        _time(raw, time),
         *[F.col(src).alias(name) for name, src in channels.items()],
     )
 
@@ -40,7 +49,7 @@ def read_node_files(
     files = spark.read.option("pathGlobFilter", pattern).parquet(folder)
     return files.select(
         (stem if chars is None else F.substring(stem, 1, chars)).alias("node"),
-        F.col(time).cast("timestamp").alias("ts"),
+        _time(files, time),
         *columns,
     )
 
