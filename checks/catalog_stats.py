@@ -41,12 +41,12 @@ _OFFS = " UNION ALL ".join(f"SELECT node, win, ts AS start_ts, '{c}' AS channel,
 
 
 @query("sliding_windows", with_("tel") + f""", win AS (
-    SELECT node, CAST((i - 23) // 6 AS INTEGER) AS win, ts - INTERVAL 23 HOUR AS ts, {each("@")} FROM (
+    SELECT node, CAST((i - 23) // 12 AS INTEGER) AS win, ts - INTERVAL 23 HOUR AS ts, {each("@")} FROM (
       SELECT node, i, ts, {_SLICES} FROM tel WINDOW w AS (PARTITION BY node ORDER BY i ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
-    WHERE i >= 23 AND (i - 23) % 6 = 0)
+    WHERE i >= 23 AND (i - 23) % 12 = 0)
     SELECT node, win, start_ts, channel, off, round(x, 6) + 0.0 AS x FROM ({_OFFS.replace('unnest(cpus_alloc)', 'unnest(cpus_alloc)::DOUBLE')})""")
 def _(spark, sf):
-    wins = WN.sliding_windows(G.cast_channels(telemetry(spark, sf), {"cpus_alloc": "double"}), CHANNELS, 24, 6)
+    wins = WN.sliding_windows(G.cast_channels(telemetry(spark, sf), {"cpus_alloc": "double"}), CHANNELS, 24, 12)
     starts = wins.select("node", "win", "start_ts")
     return E.window_elements(wins, CHANNELS).join(starts, ["node", "win"]).select("node", "win", "start_ts", "channel", "off", "x")
 
