@@ -53,3 +53,25 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     AND 100 * gram_10 <= 15 * word_chars AND 100 * line_chars <= 30 * word_chars AS kept
 FROM m
 """
+
+_DIGITS = "".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS INTEGER) >> {15 - 5 * k}) & 31 AS INTEGER) + 1, 1) || "
+    for g in range(8) for k in range(4)
+)
+
+ORACLES["op1_warc"] = f"""
+WITH p AS (SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS LAST) AS nth,
+       first_value(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS LAST) AS lead FROM p)
+SELECT page_id, payload_bytes, {_DIGITS}'' AS payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN lead END AS refers_to FROM r
+"""
+
+ORACLES["op4_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""

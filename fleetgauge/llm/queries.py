@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetgauge.llm import jaccard_join, mixing, pieces, quality_rules, secrets_scan
+from fleetgauge.llm import cotraining, html_extract, jaccard_join, language_id, mixing, pieces, quality_rules, secrets_scan, topk_search, warc
 from fleetgauge.llm.tables import BATCH_ROWS, small_batches, table
 from fleetgauge.session import prepare
 
@@ -46,3 +46,28 @@ def _(spark, sf):
 def _(spark, sf):
     small_batches(spark, 2 * BATCH_ROWS)  # more distinct words share one walk
     return pieces.digest(table(spark, sf, "documents"))
+
+
+@query("op1_warc")
+def _(spark, sf):
+    return warc.digest(table(spark, sf, "pages"))
+
+
+@query("op4_exact_topk")
+def _(spark, sf):
+    return topk_search.digest(table(spark, sf, "embeddings"))
+
+
+@query("op3_language_id")
+def _(spark, sf):
+    return language_id.digest(table(spark, sf, "documents"))
+
+
+@query("op7_quality_classifier")
+def _(spark, sf):
+    return cotraining.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op5_html_extraction")
+def _(spark, sf):
+    return html_extract.digest(table(spark, sf, "pages"))
