@@ -41,9 +41,15 @@ def _(spark, sf):
     return readers.read_raw(spark, f"{sf}/events.parquet", {"power": "value"}, "user_id", "ts")
 
 
-@query("read_node_files", f"SELECT 'events' AS node, ts, user_id, {r('value')} AS value FROM events")
+@query("read_node_files", TEL + f"SELECT node, ts, {', '.join(r(f'CAST({c} AS DOUBLE)') + ' AS ' + c for c in CH)} FROM tel")
 def _(spark, sf):
-    return readers.read_node_files(spark, sf, ["user_id", "value"], "ts", "events.parquet")
+    """A folder with a file per machine, laid out by partition and read by file name."""
+    path = work_path(spark, "node-files")
+    tel = telemetry(spark, sf)
+    named = tel.select("node", "ts", *[F.col(c).cast("double").alias(c) for c in CHANNELS])
+    named.repartition("node").write.partitionBy("node").parquet(path)
+    files = readers.read_node_files(spark, path, CHANNELS, "ts", recursive=True)
+    return files
 
 
 @query("node_index", "SELECT node, CAST(row_number() OVER (ORDER BY node) - 1 AS INTEGER) AS node_no FROM "
@@ -69,13 +75,13 @@ def _(spark, sf):
     return readers.read_node_table(spark, path)
 
 
-@query("export_error_matrix", EN + f"SELECT node, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, {r('e')} AS e FROM en WHERE win % 24 = 0")
+@query("export_error_matrix", EN + f"SELECT node, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, {r('e')} AS e FROM en ")
 def _(spark, sf):
-    """Errors of daily windows out to a wide table (a column per window) and back to rows."""
-    errs = E.err_node(profile_errors(faulty(spark, sf), CHANNELS, slide=24))
+    """Errors of all windows out to a wide table (a column per window) and back to rows."""
+    errs = written(E.err_node(profile_errors(faulty(spark, sf), CHANNELS)), "errors")
     last = G.dates_range(errs).first()
-    days = (last.end_ts - last.start_ts).days
-    times = [f"{last.start_ts + timedelta(days=d):%Y-%m-%d %H:%M:%S}" for d in range(days + 1)]
+    hours = int((last.end_ts - last.start_ts).total_seconds()) // 3600
+    times = [f"{last.start_ts + timedelta(hours=h):%Y-%m-%d %H:%M:%S}" for h in range(hours + 1)]
     path = work_path(spark, "matrix")
     writers.export_error_matrix(errs, times, path)
     return SC.to_long(spark.read.parquet(path), ["node"], times, "e").withColumnRenamed("channel", "at")
@@ -377,23 +383,24 @@ def _(spark, sf):
     return both.select("node", "ts", *[S.sq_error(c, f"{c}_hat").alias(c) for c in CHANNELS])
 
 
-@query("to_long", TEL + " UNION ALL ".join(f"SELECT node, ts, '{c}' AS channel, {r(c)} AS x FROM tel" for c in CH[:3]))
+@query("to_long", TEL + " UNION ALL ".join(f"SELECT node, ts, '{c}' AS channel, {r(f'CAST({c} AS DOUBLE)')} AS x FROM tel" for c in CH))
 def _(spark, sf):
-    return SC.to_long(telemetry(spark, sf), ["node", "ts"], CHANNELS[:3])
+    return SC.to_long(G.cast_channels(telemetry(spark, sf), {"cpus_alloc": "double"}), ["node", "ts"], CHANNELS)
 
 
-@query("to_wide", TEL + f"SELECT node, ts, {', '.join(r(c) + ' AS ' + c for c in CH[:3])} FROM tel")
+@query("to_wide", TEL + f"SELECT node, ts, {', '.join(r(f'CAST({c} AS DOUBLE)') + ' AS ' + c for c in CH)} FROM tel")
 def _(spark, sf):
-    long = SC.to_long(telemetry(spark, sf), ["node", "ts"], CHANNELS[:3])
-    return SC.to_wide(long, ["node", "ts"], CHANNELS[:3])
+    long = SC.to_long(G.cast_channels(telemetry(spark, sf), {"cpus_alloc": "double"}), ["node", "ts"], CHANNELS)
+    return SC.to_wide(long, ["node", "ts"], CHANNELS)
 
 
 @query("flatten_window", TEL + " UNION ALL ".join(
-    f"""SELECT node, CAST(i // 24 AS INTEGER) AS win, CAST(i % 24 + {24 * k} AS INTEGER) AS off, {r(c)} AS x
-    FROM tel WHERE i < (SELECT max(i) + 1 - (max(i) + 1) % 24 FROM tel)""" for k, c in enumerate(CH[:3])))
+    f"""SELECT node, CAST(i // 24 AS INTEGER) AS win, CAST(i % 24 + {24 * k} AS INTEGER) AS off, {r(f'CAST({c} AS DOUBLE)')} AS x
+    FROM tel WHERE i < (SELECT max(i) + 1 - (max(i) + 1) % 24 FROM tel)""" for k, c in enumerate(CH)))
 def _(spark, sf):
-    wins = WN.sliding_windows(telemetry(spark, sf), CHANNELS[:3], 24, 24)
-    return wins.select("node", "win", F.posexplode(S.flatten_window(CHANNELS[:3])).alias("off", "x"))
+    tel = G.cast_channels(telemetry(spark, sf), {"cpus_alloc": "double"})
+    wins = WN.sliding_windows(tel, CHANNELS, 24, 24)
+    return wins.select("node", "win", F.posexplode(S.flatten_window(CHANNELS)).alias("off", "x"))
 
 
 @query("node_from_path", "SELECT DISTINCT 'e' || user_id || '_x' AS node, substr('e' || user_id || '_x.parquet', 1, 5) AS short FROM events")

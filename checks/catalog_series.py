@@ -69,15 +69,21 @@ def _(spark, sf):
     return _labels(spark, sf)
 
 
-@query("dbscan_row_scaled", f"""WITH {_V}, {_D}, nm AS (SELECT a, sqrt(sum(d * d)) AS norm FROM dist GROUP BY a)
-    SELECT s.id, count(d) + 1 >= 15 AS core FROM s LEFT JOIN (SELECT a, d FROM dist JOIN nm USING (a)
-      WHERE d / norm <= 0.88 / sqrt((SELECT count(*) FROM s))) n ON s.id = n.a GROUP BY s.id""")
+@query("dbscan_row_scaled", f"""WITH RECURSIVE {_V}, {_D}, nm AS (SELECT a, sqrt(sum(d * d)) AS norm FROM dist GROUP BY a),
+    near AS MATERIALIZED (SELECT a, b FROM dist JOIN nm USING (a) WHERE d / norm <= 0.88 / sqrt((SELECT count(*) FROM s))),
+    core AS MATERIALIZED (SELECT id FROM s LEFT JOIN near ON id = a GROUP BY id HAVING count(b) + 1 >= 15),
+    one AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+    link AS MATERIALIZED (SELECT a, b FROM one UNION SELECT b, a FROM one),
+    walk(id, root) AS (SELECT id, id FROM core UNION SELECT l.b, w.root FROM walk w JOIN link l ON w.id = l.a WHERE w.root < l.b),
+    roots AS (SELECT id, min(root) AS root FROM walk GROUP BY id)
+    SELECT s.id, s.id IN (SELECT id FROM core) AS core, coalesce((SELECT root FROM roots WHERE roots.id = s.id),
+      (SELECT min(root) FROM near JOIN roots ON roots.id = near.b WHERE near.a = s.id), -1) AS label FROM s""")
 def _(spark, sf):
     """Distances divided by the length of their row of the table; the bound becomes a radius per series."""
     s = series(spark, sf)
     eps = 0.88 / s.count() ** 0.5
     own = s.join(N.row_norms(s), "id").select("id", "v", (F.col("norm") * eps).alias("r"))
-    return C.dbscan(s, N.near_pairs(own, s, every=True), 15).select("id", "core")
+    return C.dbscan(s, N.near_pairs(own, s, every=True), 15)
 
 
 @query("cluster_count", _CORES + " SELECT count(DISTINCT label) FILTER (label <> -1) AS clusters FROM lab")
@@ -99,7 +105,7 @@ def _(spark, sf):
 
 @query("dtw_kmeans")
 def _(spark, sf):
-    return C.dtw_kmeans(series(spark, sf), 8, 2)[0]
+    return C.dtw_kmeans(series(spark, sf), 8)[0]
 
 
 @query("kmeans8")

@@ -444,32 +444,25 @@ def _halves(block: np.ndarray) -> np.ndarray:
     return (block.mean(axis=2, keepdims=True) + block[:, :, :1]) / 2 + np.zeros_like(block)
 
 
-THREE = CHANNELS[:3]
-
-
-def _three(template: str, sep: str = ", ") -> str:
-    return sep.join(template.replace("@", c) for c in THREE)
-
-
-_HALF = with_("nrm") + """, wn AS (SELECT node, i - 23 AS w0, ts - INTERVAL 23 HOUR AS ts, """ + _three("list(@) OVER w AS @") + """ FROM nrm
+_HALF = with_("nrm") + """, wn AS (SELECT node, i - 23 AS w0, ts - INTERVAL 23 HOUR AS ts, """ + each("list(@) OVER w AS @") + """ FROM nrm
       WINDOW w AS (PARTITION BY node ORDER BY i ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
     hv AS (SELECT node, CAST(w0 // 6 AS INTEGER) AS win, ts, """ + ", ".join(
     f"""list_avg(list_transform({c}, lambda x: abs(x - (list_avg({c}) + {c}[1]) / 2))) AS l1_{c},
-        list_avg(list_transform({c}, lambda x: (x - (list_avg({c}) + {c}[1]) / 2) ^ 2)) AS l2_{c}""" for c in THREE) + """
+        list_avg(list_transform({c}, lambda x: (x - (list_avg({c}) + {c}[1]) / 2) ^ 2)) AS l2_{c}""" for c in CHANNELS) + """
       FROM wn WHERE w0 >= 0 AND w0 % 6 = 0)
 """
 
 
-@query("score_series", _HALF + "SELECT node, win, ts, " + ", ".join(_three(r(m + "_@", 8) + f" AS {m}_@") for m in ("l1", "l2"))
-       + ", " + ", ".join(f"{r('(' + _three(m + '_@', ' + ') + ') / 3', 8)} AS {m}" for m in ("l1", "l2")) + " FROM hv", digits=8)
+@query("score_series", _HALF + "SELECT node, win, ts, " + ", ".join(each(r(m + "_@", 8) + f" AS {m}_@") for m in ("l1", "l2"))
+       + ", " + ", ".join(f"{r('(' + each(m + '_@', ' + ') + ') / 4', 8)} AS {m}" for m in ("l1", "l2")) + " FROM hv", digits=8)
 def _(spark, sf):
-    return RC.score_series(scaled(spark, sf), _halves, THREE, 24, 6)
+    return RC.score_series(scaled(spark, sf), _halves, CHANNELS, 24, 6)
 
 
-@query("score_windows", _HALF + f"SELECT node, win, ts, {_three(r('l1_@', 8) + ' AS l1_@')}, {r('(' + _three('l1_@', ' + ') + ') / 3', 8)} AS l1 FROM hv", digits=8)
+@query("score_windows", _HALF + f"SELECT node, win, ts, {each(r('l1_@', 8) + ' AS l1_@')}, {r('(' + each('l1_@', ' + ') + ') / 4', 8)} AS l1 FROM hv", digits=8)
 def _(spark, sf):
-    wins = WN.sliding_windows(scaled(spark, sf), THREE, 24, 6)
-    return E.array_errors(RC.score_windows(wins, _halves, THREE), THREE)
+    wins = WN.sliding_windows(scaled(spark, sf), CHANNELS, 24, 6)
+    return E.array_errors(RC.score_windows(wins, _halves, CHANNELS), CHANNELS)
 
 
 @query("recon_linear")

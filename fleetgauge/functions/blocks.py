@@ -8,6 +8,7 @@ it. The unit of work is (keys, block), so its size has a fixed bound however lon
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,23 @@ def with_halo(df: DataFrame, pos: str, before: int, block: int = BLOCK) -> DataF
     return df.withColumn("_blk", F.explode(F.sequence(first, last)))
 
 
+def all_known(columns: list[str]) -> Column:
+    """Whether a row has a value in every column."""
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    return known
+
+
+def whole_starts(steps: np.ndarray, known: np.ndarray, own: np.ndarray, window: int, slide: int) -> np.ndarray:
+    """Places where a window begins whose last step is one of `own`, with every step there and known."""
+    starts = np.flatnonzero(own) - (window - 1)
+    starts = starts[starts >= 0]
+    total = np.concatenate([[0], np.cumsum(known)])
+    there = (steps[starts + window - 1] - steps[starts] == window - 1) & (total[starts + window] - total[starts] == window)
+    return starts[there & (steps[starts] % slide == 0)]
+
+
 def is_own(pos: str, block: int = BLOCK) -> Column:
     return F.floor(F.col(pos) / block) == F.col("_blk")
 
@@ -37,30 +55,23 @@ def trailing_sums(
     first: dict[str, int] | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
-    """For each row the sum and count of its last w rows: `<col>_s<w>`, `<col>_n<w>`.
+    """For each row sums and counts over the steps (pos - w, pos]: `<col>_s<w>`, `<col>_n<w>`, `_rows<w>`.
 
-    Running sums inside a block, minus the running sum w rows earlier: constant work per row
-    whatever the width. `first` maps a column to a look-back distance, giving `<col>_first`.
-    Steps must be gapless per key (see operators.grid).
+    Each frame is summed by itself, in step order: equal rows give equal sums, and a NaN or an infinite
+    value is gone after w steps. Frames go by step, not by row, so missing steps make a frame
+    smaller whatever the block. `first` maps a column to a width: `<col>_first` is its value at
+    the first row of that frame.
     """
-    back = max([w - 1 for w in widths] + list((first or {}).values()))
+    back = max([*widths, *(first or {}).values()]) - 1
     order = W.partitionBy(*keys, "_blk").orderBy(pos)
-    running = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     kept = df.columns
-    out = with_halo(df, pos, back, block).select(
-        *kept,
-        "_blk",
-        *[F.coalesce(F.sum(c).over(running), F.lit(0.0)).alias(f"_s_{c}") for c in columns],
-        *[F.count(c).over(running).alias(f"_n_{c}") for c in columns],
-    )
     wanted = []
-    for w in widths:
+    for w in dict.fromkeys(widths):
+        frame = order.rangeBetween(-(w - 1), 0)
+        wanted.append(F.count("*").over(frame).alias(f"_rows{w}"))
         for c in columns:
-            for kind in ("s", "n"):
-                name = f"_{kind}_{c}"
-                earlier = F.coalesce(F.lag(name, w).over(order), F.lit(0))
-                wanted.append((F.col(name) - earlier).alias(f"{c}_{kind}{w}"))
-    for c, distance in (first or {}).items():
-        wanted.append(F.lag(c, distance).over(order).alias(f"{c}_first"))
-    own = is_own(pos, block)
-    return out.select(*kept, "_blk", *wanted).where(own).drop("_blk")
+            wanted.append(F.coalesce(F.sum(c).over(frame), F.lit(0.0)).alias(f"{c}_s{w}"))
+            wanted.append(F.count(c).over(frame).alias(f"{c}_n{w}"))
+    for c, w in (first or {}).items():
+        wanted.append(F.first(c).over(order.rangeBetween(-(w - 1), 0)).alias(f"{c}_first"))
+    return with_halo(df, pos, back, block).select(*kept, "_blk", *wanted).where(is_own(pos, block)).drop("_blk")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.blocks import BLOCK, trailing_sums
 from fleetgauge.functions.scalars import abs_error, ratio, sq_error
-from fleetgauge.operators.grid import step_counts
 from fleetgauge.schema import SLIDE, WINDOW
 
 _POINT = {"L1": abs_error, "L2": sq_error}
@@ -34,7 +33,8 @@ def window_errors(
 ) -> DataFrame:
     """`node, win, ts` (window start) with `<metric>_<channel>` and `<metric>` per machine.
 
-    Expects `<channel>` and `<channel>_hat` at every step. All metrics come from one pass.
+    Expects `<channel>` and `<channel>_hat`. All metrics come from one pass. A window counts when it has
+    every one of its steps with a value in every channel; others are left out.
     """
     for metric in metrics:
         if metric not in _POINT:
@@ -43,10 +43,10 @@ def window_errors(
     points = df.select(
         "node", "ts", "i", *[_POINT[m](c, f"{c}_hat").alias(n) for (m, c), n in names.items()]
     )
-    sums = trailing_sums(points, ["node"], "i", list(names.values()), [window], {"ts": window - 1, "i": window - 1}, block)
+    sums = trailing_sums(points, ["node"], "i", list(names.values()), [window], {"ts": window}, block)
     start = F.col("i") - (window - 1)
-    # Windows across a gap in the steps (removed periods) are left out.
-    whole = sums.where((F.col("i_first") == start) & (start % slide == 0)).select(
+    full = reduce(lambda a, b: a & b, [F.col(f"{n}_n{window}") == window for n in names.values()])
+    whole = sums.where((F.col(f"_rows{window}") == window) & full & (start % slide == 0)).select(
         "node",
         F.floor(start / slide).cast("int").alias("win"),
         F.col("ts_first").alias("ts"),
@@ -102,18 +102,21 @@ def orig_vs_recon(original: DataFrame, rebuilt: DataFrame) -> DataFrame:
     return original.join(rebuilt.withColumnRenamed("x", "x_hat"), keys)
 
 
-def recon_losses(df: DataFrame, channels: list[str], window: int = WINDOW, slide: int = SLIDE) -> DataFrame:
+def recon_losses(
+    df: DataFrame, channels: list[str], window: int = WINDOW, slide: int = SLIDE, block: int = BLOCK
+) -> DataFrame:
     """Channel-summed squared error, absolute and relative error, averaged over all windows.
 
-    A step counts as often as windows cover it, so no window is written out.
+    A step counts as often as whole windows cover it, so no window is written out: a step where a
+    whole window ends is marked, and the marks of the steps ahead are counted back.
     """
-    counted = df.join(step_counts(df), "node").where(F.col("steps") >= window)
-    top = F.floor((F.col("steps") - window) / slide)
-    cover = (
-        F.least(F.floor(F.col("i") / slide), top)
-        - F.greatest(F.ceil((F.col("i") - window + 1) / slide), F.lit(0))
-        + 1
-    )
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in channels])
+    marked = df.withColumn("_known", F.when(known, 1))
+    ends = trailing_sums(marked, ["node"], "i", ["_known"], [window], block=block)
+    whole = (F.col(f"_rows{window}") == window) & (F.col(f"_known_n{window}") == window) & ((F.col("i") - (window - 1)) % slide == 0)
+    ends = ends.select(*df.columns, F.when(whole, 1).alias("_end"), (-F.col("i")).alias("_ahead"))
+    counted = trailing_sums(ends, ["node"], "_ahead", ["_end"], [window], block=block)
+    cover = F.col(f"_end_n{window}")
     sq = reduce(lambda a, b: a + b, [sq_error(c, f"{c}_hat") for c in channels])
     ab = reduce(lambda a, b: a + b, [abs_error(c, f"{c}_hat") for c in channels])
     rel = [ratio(abs_error(c, f"{c}_hat"), F.abs(F.col(c))) for c in channels]

@@ -32,7 +32,8 @@ def time_grid(
 ) -> DataFrame:
     """Every machine at every step from the first to the last reading: node, ts, i, channels.
 
-    Readings must hold at most one row per (node, ts), with ts on the grid. The two ends of the
+    Of several readings within one step the newest counts (of equal times that with the greatest
+    values). The two ends of the
     axis are read first (one row, or the caller's `bounds`). The axis unfolds in two explodes:
     machines into spans, which are spread over the tasks, then spans into steps right where the
     readings of the same span lie, so the unfolded steps are never shuffled.
@@ -46,12 +47,11 @@ def time_grid(
         return readings.select("node", "ts", F.lit(0).alias("i"), *channels)
     start, last = F.timestamp_seconds(F.lit(first)), F.lit(steps)
     span = BLOCK
-    parts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     axis = (
         readings.select("node")
         .distinct()
         .select("node", F.explode(F.sequence(F.lit(0), F.lit(steps // span))).alias("_b"))
-        .repartition(parts, "node", "_b")
+        .repartition("node", "_b")
         .select(
             "node",
             "_b",
@@ -61,8 +61,9 @@ def time_grid(
         )
     )
     step = step_of(F.col("ts"), start, seconds)
-    values = readings.select("node", F.floor(step / span).cast("int").alias("_b"), step.alias("i"), *channels)
-    values = values.repartition(parts, "node", "_b")
+    values = readings.select("node", F.floor(step / span).cast("int").alias("_b"), step.alias("i"), "ts", *channels)
+    values = values.repartition("node", "_b").groupBy("node", "_b", "i").agg(F.max(F.struct("ts", *channels)).alias("_v"))
+    values = values.select("node", "_b", "i", *[F.col(f"_v.{c}").alias(c) for c in channels])
     out = axis.join(values, ["node", "_b", "i"], "left")
     ts = F.timestamp_seconds(F.lit(first) + F.col("i").cast("long") * seconds)
     filled = [F.col(c) if fill is None else F.coalesce(c, F.lit(fill)).alias(c) for c in channels]

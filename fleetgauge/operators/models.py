@@ -46,10 +46,13 @@ def kmeans8(series: DataFrame, k: int = 8, starts: int = 20, seed: int = 0) -> t
     Returns `id, dist, label` and the centres of the second stage; the best of `starts` runs
     counts in each stage.
     """
-    first = _best(_vector(series, "v", "_x").cache(), k, starts, seed)
+    plain = _vector(series, "v", "_x").cache()
+    first = _best(plain, k, starts, seed)
+    plain.unpersist()
     away = series.select("id", _distances(first.clusterCenters()).alias("dist"))
     vec = _vector(away, "dist", "_x").cache()
     second = _best(vec, k, starts, seed)
+    vec.unpersist()
     labels = second.transform(vec).select("id", "dist", F.col("prediction").alias("label"))
     return labels, [list(map(float, c)) for c in second.clusterCenters()]
 

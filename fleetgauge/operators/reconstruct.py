@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.blocks import BLOCK, with_halo
+from fleetgauge.functions.blocks import BLOCK, all_known, whole_starts, with_halo
 from fleetgauge.functions.scalars import flatten_window
 from fleetgauge.schema import SLIDE, WINDOW
 
@@ -72,16 +72,15 @@ def score_series(
     """Errors of a window function without writing windows out.
 
     A task takes one bounded block of one machine's steps, cuts windows as views, scores them in
-    batches and returns only the L1 and L2 errors: `node, win, ts, l1_<c>, l2_<c>, l1, l2`.
+    batches and returns only the L1 and L2 errors: `node, win, ts, l1_<c>, l2_<c>, l1, l2`. Windows
+    that lack a step, or a value in any channel, are left out, as in `sliding_windows`.
     """
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         steps = pdf["i"].to_numpy()
         values = pdf[channels].to_numpy(dtype=float)
-        ends = np.flatnonzero(steps // block == pdf["_blk"].iloc[0])
-        starts = ends[ends >= window - 1] - (window - 1)
-        starts = starts[steps[starts] % slide == 0]
+        starts = whole_starts(steps, pdf["_known"].to_numpy(), steps // block == pdf["_blk"].iloc[0], window, slide)
         l1 = np.empty((len(starts), len(channels)))
         l2 = np.empty_like(l1)
         if len(starts):
@@ -105,7 +104,9 @@ def score_series(
         f"{name}_{c} double" for name in ("l1", "l2") for c in channels
     )
     order = ["node", "win", "ts", *[f"{n}_{c}" for n in ("l1", "l2") for c in channels], "l1", "l2"]
-    parts = with_halo(df.select("node", "ts", "i", *channels), "i", window - 1, block)
+    parts = with_halo(
+        df.select("node", "ts", "i", *channels, all_known(channels).alias("_known")), "i", window - 1, block
+    )
     return parts.groupBy("node", "_blk").applyInPandas(
         lambda pdf: score(pdf)[order], f"node string, win int, ts timestamp, {errors}, l1 double, l2 double"
     )

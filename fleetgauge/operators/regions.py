@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,13 +72,20 @@ def match_regions(found: DataFrame, incidents: DataFrame) -> DataFrame:
 
 
 def regions_vs_truth(found: DataFrame, incidents: DataFrame) -> DataFrame:
-    """`detected` pairs, `missed` incidents and `false_alarm` regions."""
+    """`detected` pairs, `missed` incidents and `false_alarm` regions.
+
+    Further columns of `found` (the machine, the bound) tell regions apart and come along; an incident
+    is missed when no region at all meets it.
+    """
     pairs = match_regions(found, incidents)
-    region = ["first_step", "last_step", "start_ts", "end_ts"]
+    region = [*(c for c in found.columns if c not in ("first_step", "last_step", "start_ts", "end_ts")),
+              "first_step", "last_step", "start_ts", "end_ts"]
     truth = ["id", "date_start", "date_end"]
     hit = pairs.select(F.lit("detected").alias("outcome"), *region, *truth)
     missed = incidents.join(pairs.select("id").distinct(), "id", "left_anti")
-    alarm = found.join(pairs.select("first_step").distinct(), "first_step", "left_anti")
+    met = pairs.select(*[F.col(c).alias(f"_{c}") for c in region]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in region])
+    alarm = found.join(met, same, "left_anti")
     return (
         hit.unionByName(missed.select(F.lit("missed").alias("outcome"), *truth), allowMissingColumns=True)
         .unionByName(alarm.select(F.lit("false_alarm").alias("outcome"), *region), allowMissingColumns=True)

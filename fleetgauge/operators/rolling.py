@@ -1,4 +1,8 @@
-"""Padded moving averages and their difference."""
+"""Padded moving averages and their difference.
+
+Widths are steps. A step without a row or without a value counts as the overall mean of its series, be
+it ahead of the start or in a gap.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +16,12 @@ TRIMS = ("tail", "warmup")
 
 def _with_stats(df: DataFrame, keys: list[str], pos: str, column: str) -> DataFrame:
     stats = df.groupBy(*keys).agg(
-        F.avg(column).alias("_avg"), F.count("*").alias("_rows"), F.min(pos).alias("_first")
+        F.avg(column).alias("_avg"), F.max(pos).alias("_last"), F.min(pos).alias("_first")
     )
     if keys:
         return df.join(stats, keys)
     one = stats.first()  # a single series: one row
-    return df.withColumns({c: F.lit(one[c]) for c in ("_avg", "_rows", "_first")})
+    return df.withColumns({c: F.lit(one[c]) for c in ("_avg", "_last", "_first")})
 
 
 def _padded(df: DataFrame, keys: list[str], pos: str, column: str, widths: dict[str, int], block: int) -> DataFrame:
@@ -26,14 +30,14 @@ def _padded(df: DataFrame, keys: list[str], pos: str, column: str, widths: dict[
         name: (F.col(f"{column}_s{w}") + (w - F.col(f"{column}_n{w}")) * F.col("_avg")) / w
         for name, w in widths.items()
     }
-    return sums.select(*df.columns, "_rows", "_first", *[m.alias(n) for n, m in means.items()])
+    return sums.select(*df.columns, "_last", "_first", *[m.alias(n) for n, m in means.items()])
 
 
 def rolling_mean(
     df: DataFrame, keys: list[str], pos: str, column: str, width: int, name: str = "m", block: int = BLOCK
 ) -> DataFrame:
-    """Mean of the last `width` rows; rows before the start count as the overall mean."""
-    return _padded(df, keys, pos, column, {name: width}, block).drop("_rows", "_first")
+    """Mean of the last `width` steps."""
+    return _padded(df, keys, pos, column, {name: width}, block).drop("_last", "_first")
 
 
 def long_short_diff(
@@ -46,7 +50,7 @@ def long_short_diff(
     trim: str = "tail",
     block: int = BLOCK,
 ) -> DataFrame:
-    """`m_long`, `m_short` and `diff` = short - long, `long` rows of each series left out.
+    """`m_long`, `m_short` and `diff` = short - long, `long` steps of each series left out.
 
     trim='tail' leaves out the newest rows, trim='warmup' the oldest ones, whose long mean is
     still mostly padding.
@@ -54,6 +58,5 @@ def long_short_diff(
     if trim not in TRIMS:
         raise ValueError(f"trim must be one of {TRIMS}")
     both = _padded(df, keys, pos, column, {"m_long": long, "m_short": short}, block)
-    place = F.col(pos) - F.col("_first")
-    kept = place < F.col("_rows") - long if trim == "tail" else place >= long
-    return both.where(kept).drop("_rows", "_first").withColumn("diff", F.col("m_short") - F.col("m_long"))
+    kept = F.col(pos) <= F.col("_last") - long if trim == "tail" else F.col(pos) >= F.col("_first") + long
+    return both.where(kept).drop("_last", "_first").withColumn("diff", F.col("m_short") - F.col("m_long"))

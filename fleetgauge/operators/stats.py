@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.blocks import BLOCK, with_halo
+from fleetgauge.functions.blocks import BLOCK, all_known, whole_starts, with_halo
 from fleetgauge.functions.quantiles import exact_percentiles
 from fleetgauge.functions.scalars import ratio, threshold_ge, threshold_gt
 from fleetgauge.operators.errors import err_fleet, err_node, err_node_channel
@@ -138,23 +138,21 @@ def window_entropy(
     """Shannon entropy of the distinct values of all channels in each window.
 
     Counting values per window in SQL needs a row per (window, step, channel); here a task sees
-    one bounded block of steps and returns one row per window.
+    one bounded block of steps and returns one row per window. Windows that lack a step, or a value
+    in any channel, are left out.
     """
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         steps = pdf["i"].to_numpy()
         values = pdf[channels].to_numpy(dtype=float)
-        ends = np.flatnonzero(steps // block == pdf["_blk"].iloc[0])
-        starts = ends - (window - 1)
-        starts = starts[starts >= 0]
-        starts = starts[steps[starts] % slide == 0]
+        starts = whole_starts(steps, pdf["_known"].to_numpy(), steps // block == pdf["_blk"].iloc[0], window, slide)
         wins = (steps[starts] // slide).astype("int32")
         return pd.DataFrame(
             {"node": pdf["node"].iloc[0], "win": wins, "entropy": _block_entropy(values, starts, window)}
         )
 
-    parts = with_halo(df.select("node", "i", *channels), "i", window - 1, block)
+    parts = with_halo(df.select("node", "i", *channels, all_known(channels).alias("_known")), "i", window - 1, block)
     return parts.groupBy("node", "_blk").applyInPandas(score, "node string, win int, entropy double")
 
 

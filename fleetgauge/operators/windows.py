@@ -15,18 +15,22 @@ def sliding_windows(
 ) -> DataFrame:
     """Window `win` holds steps [win*slide, win*slide+window) of one machine, an array per channel.
 
+    Windows that lack a step, or a value in any channel, are left out.
     Output grows by window/slide; where only errors are wanted use the rolling forms instead.
     """
     order = W.partitionBy("node", "_blk").orderBy("i")
-    frame = order.rowsBetween(-(window - 1), 0)
-    whole = (F.col("i") >= window - 1) & ((F.col("i") - (window - 1)) % slide == 0) & is_own("i", block)
+    frame = order.rangeBetween(-(window - 1), 0)
+    whole = ((F.col("i") - (window - 1)) % slide == 0) & is_own("i", block) & (F.col("_rows") == window)
+    for c in channels:
+        whole = whole & (F.size(c) == window)  # collect_list passes over nulls
     return (
         with_halo(df.select("node", "ts", "i", *channels), "i", window - 1, block)
         .select(
             "node",
             "i",
             "_blk",
-            F.lag("ts", window - 1).over(order).alias("start_ts"),
+            F.count("*").over(frame).alias("_rows"),
+            F.first("ts").over(frame).alias("start_ts"),
             *[F.collect_list(c).over(frame).alias(c) for c in channels],
         )
         .where(whole)

@@ -43,10 +43,16 @@ def read_node_files(
     time: str = "date",
     pattern: str = "*.parquet",
     chars: int | None = None,
+    recursive: bool = False,
 ) -> DataFrame:
-    """Folder with one parquet file per machine, named after it; other files are passed over."""
-    stem = node_from_path("_metadata.file_path")
-    files = spark.read.option("pathGlobFilter", pattern).parquet(folder)
+    """Folder with one parquet file per machine, named after it; other files are passed over.
+
+    `recursive` reads folders named `node=<machine>` inside it, whatever the files are called.
+    """
+    path = F.col("_metadata.file_path")
+    stem = F.regexp_extract(path, "/node=([^/]+)/", 1) if recursive else node_from_path("_metadata.file_path")
+    reader = spark.read.option("pathGlobFilter", pattern)
+    files = (reader.option("recursiveFileLookup", True) if recursive else reader).parquet(folder)
     return files.select(
         (stem if chars is None else F.substring(stem, 1, chars)).alias("node"),
         _time(files, time),
@@ -77,13 +83,17 @@ def load_ground_truth(spark: SparkSession, path: str, tz: str | None = None) ->
     return parse_incidents(spark.read.schema(INCIDENT_TEXT).json(path), tz)
 
 
-def import_error_table(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of JSON tables `{"columns": [...], "data": [[...], ...]}`, one table per line or file.
+def import_error_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Rows of JSON tables `{"columns": [...], "data": [[...], ...]}`, one table per line or, with
+    `multi_line`, one per file over any number of lines.
 
     Out come `(row, name, e)`. Large tables should be cut into many lines, each with its columns
-    and a `first_row`: a line is the unit of work.
+    and a `first_row`: a line is the unit of work. Text that is no such table is an error.
     """
-    doc = spark.read.schema("columns array<string>, data array<array<double>>, first_row long").json(path)
+    reader = spark.read.schema("columns array<string>, data array<array<double>>, first_row long")
+    doc = reader.option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
+    wrong = F.raise_error(F.lit("a table without columns or data")).cast("boolean")
+    doc = doc.where(F.when(F.col("columns").isNull() | F.col("data").isNull(), wrong).otherwise(F.lit(True)))
     first = F.coalesce("first_row", F.lit(0))
     rows = doc.select("columns", first.alias("_f"), F.posexplode("data").alias("_r", "_cells"))
     cells = rows.select(

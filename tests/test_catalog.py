@@ -4,21 +4,15 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare, connect
+from checks.registry import ORACLES
 
 SF = "/root/testdata/sf0.001"
-# One query per family; the full list is run with `python -m checks.run <folder>`.
-PICKED = [
-    "time_grid", "node_index", "prepare_dataset", "err_node_channel", "metrics_panel", "regions_vs_truth",
-    "node_status_warmup", "recon_losses", "window_entropy", "stream_window_error", "euclid_pairs",
-]
-
-
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", PICKED)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, con, name):
     assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
 

@@ -12,6 +12,7 @@ from fleetgauge.operators.regions import match_regions, regions
 from fleetgauge.functions.scalars import threshold_gt
 from tests.data import START, by, matrix
 
+# The published example and its results.
 SQUARE = [[1, 2, 3], [4, 5, 6], [7, 8, 9]]
 
 
