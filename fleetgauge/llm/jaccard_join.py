@@ -46,9 +46,10 @@ def band_plan(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
     threshold with the recall wanted. More rows make fewer false candidates."""
     best = (hashes, 1)
     for rows in range(1, hashes + 1):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
-        if bands * rows <= hashes:
-            best = (bands, rows)
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))))
+        if bands * rows > hashes:
+            break  # more rows need more hashes still
+        best = (bands, rows)
     return best
 
 

@@ -125,7 +125,8 @@ def fit(df: DataFrame, learn_from: Column, text: str = "text", lang: str = "lang
     table = np.log((grams + 0.2) / (grams.sum(0) + 0.2 * (1 << BITS)))
     used = scripts >= LEAST_SHARE * np.maximum(scripts.sum(0), 1)
     uses = np.where(used | ~used.any(1, keepdims=True), 0.0, FOREIGN)
-    return LanguageModel(names, (table - table.mean(1, keepdims=True)).astype(np.float32), uses.astype(np.float32))
+    mean = table.mean(1, keepdims=True) if names else 0.0
+    return LanguageModel(names, (table - mean).astype(np.float32), uses.astype(np.float32))
 
 
 def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarray:
