@@ -21,11 +21,11 @@ from fleetgauge.operators.stats import (
 )
 from fleetgauge.plans.realtime import profile_errors
 from fleetgauge.schema import LONG_MEAN, SHORT_MEAN_EVAL, SIGMAS, SLIDE, WINDOW
-
-
+from fleetgauge.session import written
 
 def metrics_panel(errors: DataFrame, digits: int | None = None) -> DataFrame:
-    """Eight series per step from errors carrying `cpus_alloc`."""
+    """Eight series per step from errors carrying `cpus_alloc`; these are worked out once."""
+    errors = written(errors.select("node", "ts", "e", "cpus_alloc"), "panel")
     per_step = flagged(errors, digits).groupBy("ts").agg(
         F.avg("e").alias("mean_e"), working().alias("working_e"), *[F.sum(f).alias(f"n_{f}") for f in FLAGS]
     )
@@ -35,14 +35,16 @@ def metrics_panel(errors: DataFrame, digits: int | None = None) -> DataFrame:
 def smoothed(
     errors: DataFrame, long: int = LONG_MEAN, short: int = SHORT_MEAN_EVAL, trim: str = "tail"
 ) -> DataFrame:
-    """Fleet median per step with long and short mean and their difference."""
+    """Fleet median per step with long and short mean and their difference; the medians, a row per
+    step, are written, as several later steps read them."""
     steps = errors.groupBy("ts").agg(F.min("win").alias("win"))
-    series = fleet_median(errors).join(steps, "ts")
+    series = written(fleet_median(errors).join(steps, "ts"), "medians")
     return long_short_diff(series, [], "win", "median_e", long, short, trim)
 
 
 def threshold_sensitivity(smooth: DataFrame, sigmas: list[float] = SIGMAS, digits: int | None = None) -> DataFrame:
     """Flag per step and k: difference at or above mean + k deviations."""
+    smooth = written(smooth.select("win", "ts", "diff"), "smooth")
     mean, deviation = smooth.agg(F.avg("diff"), F.stddev_pop("diff")).first()
     marks = F.array(
         *[

@@ -15,6 +15,7 @@ from fleetgauge.operators.filters import (
 from fleetgauge.operators.grid import time_grid
 from fleetgauge.operators.scale import apply_scale, fit_scale
 from fleetgauge.schema import CHANNELS
+from fleetgauge.session import written
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,12 @@ class Settings:
 
 
 def prepare_dataset(raw: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, test, scale). The scale is fitted on the training table and used for both."""
-    chosen = top_nodes(hosts_blacklist(raw, s.blacklist), s.nodes)
+    """(train, test, scale). The scale is fitted on the training table and used for both.
+
+    The readings of the chosen machines are written once; bounds, axes and values all come from there.
+    """
+    wanted = raw.select("node", "ts", *[c for c in dict.fromkeys([*s.channels, "power"]) if c in raw.columns])
+    chosen = written(top_nodes(hosts_blacklist(wanted, s.blacklist), s.nodes), "chosen")
 
     def period(span: tuple[str, str], gaps: list[tuple[str, str]]) -> DataFrame:
         grid = time_grid(date_range_filter(chosen, *span), s.channels, s.seconds, s.fill)

@@ -13,6 +13,7 @@ from fleetgauge.operators.rolling import long_short_diff
 from fleetgauge.operators.scale import apply_scale, fit_scale
 from fleetgauge.operators.windows import last_n_windows, last_window
 from fleetgauge.schema import HISTORY_WINDOWS, LONG_MEAN, SHORT_MEAN_LIVE, WINDOW
+from fleetgauge.session import written
 
 
 def profile_errors(
@@ -114,6 +115,7 @@ def node_status(
     """`node, r_err, is_anomaly`: what is published after each batch of readings."""
     last = telemetry.agg(F.max("i")).first()[0] - window + 1
     errors = profile_errors(telemetry, channels, (metric,), window, 1, scale, profile, newest=windows)
+    errors = written(errors.select("node", "win", "ts", metric.lower()), "node-errors")
     judged = detect_node_last(errors, metric, windows, long, short, trim, digits, last)
     newest = last_window(err_node(errors, metric), last).select("node", F.col("e").alias("r_err"))
     return newest.join(judged.select("node", "is_anomaly"), "node")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +16,9 @@ def build_session(app: str = "fleetgauge", master: str | None = None, **conf: ob
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, str(value))
-    return prepare(builder.getOrCreate())
+    spark = builder.getOrCreate()
+    ship(spark)
+    return prepare(spark)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -35,6 +39,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, where it is not installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_fleetgauge_sent", False):
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="fleetgauge-"), "fleetgauge.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for base, _, names in os.walk(folder):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(folder)))
+    context.addPyFile(target)
+    context._fleetgauge_sent = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors see; a temporary one only for a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
