@@ -101,7 +101,8 @@ class PageMaker:
         names = self.names(MAIN if tag in ("div", "section", "td") or r.random() < 0.5 else None)
         out = [f"<{tag}{names}>"]
         if r.random() < 0.8:
-            out.append(f"<h1>{self.some(2, 10)}</h1>")
+            head = f"<h1>{self.some(2, 10)}</h1>"
+            out.append(f"<header{self.names(None)}>{head}</header>" if tag != "td" and r.random() < 0.2 else head)
         wrap = r.random() < 0.3
         if wrap:
             out.append(f"<div{self.names(MAIN)}>")
@@ -121,11 +122,15 @@ class PageMaker:
                 out += ["<ul>", *(f"<li>{self.some(2, 15)}</li>" for _ in range(r.randint(2, 5))), "</ul>"]
             elif y < 0.9:
                 out.append(f"<blockquote>{text}</blockquote>")
-            elif y < 0.95:
+            elif y < 0.93:
                 out.append(f"<div>{text}</div>")
+            elif y < 0.95:
+                out.append(f"<figure><figcaption>{self.some(2, 12)}</figcaption></figure>")
+            elif y < 0.97:
+                out.append("<table>" + "".join(f"<tr><th>{self.some(1, 3)}</th><td>{self.some(1, 6)}</td></tr>" for _ in range(r.randint(2, 4))) + "</table>")
             else:
                 out.append(f"{text}<br>")
-            if r.random() < 0.06:
+            if r.random() < 0.15:
                 out.append(("mark", self.chrome(r.choice(["advert", "share", "sidebar", "form", "notice"]))))
         if wrap:
             out.append("</div>")
