@@ -28,15 +28,21 @@ SELECT doc_id, size, source_size, target,
 FROM k
 """
 
-_GRAM = """g{n} AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, list_slice(ws, pos, pos + {n} - 1)) AS c
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n} + 2)) AS pos FROM w WHERE len(ws) >= {n})),
+
+
+def _gram(n: int) -> str:
+    words = " || chr(1) || ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, n))])
+    return f"""g{n} AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS c
+  FROM (SELECT doc_id, pos, {words} AS gram FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE gram IS NOT NULL),
 h{n} AS (SELECT DISTINCT doc_id, pos + k AS pos FROM g{n}, unnest(range({n})) AS u(k) WHERE c > 1),
-s{n} AS (SELECT h.doc_id, count(*) AS words, CAST(sum(length(list_extract(w.ws, CAST(h.pos AS INTEGER)))) AS BIGINT) AS chars
-  FROM h{n} h JOIN w ON w.doc_id = h.doc_id GROUP BY h.doc_id)"""
+s{n} AS (SELECT h.doc_id, count(*) AS words, CAST(sum(length(t.word)) AS BIGINT) AS chars
+  FROM h{n} h JOIN t ON t.doc_id = h.doc_id AND t.pos = h.pos GROUP BY h.doc_id)"""
+
 
 ORACLES["op6_quality_rules"] = rf"""
 WITH w AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-{_GRAM.format(n=5)}, {_GRAM.format(n=7)}, {_GRAM.format(n=10)},
+t AS MATERIALIZED (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+{_gram(5)}, {_gram(7)}, {_gram(10)},
 l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY no) AS nth, count(*) OVER (PARTITION BY doc_id, line) AS c,
     length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM w)
