@@ -21,6 +21,7 @@ which comes back as a space.
 from __future__ import annotations
 
 import gc
+import hashlib
 import re
 from itertools import chain
 
@@ -40,6 +41,7 @@ class PieceModel:
 
     def __init__(self, pieces: list[str], scores: list[float], special: set[int], bpe: bool):
         self.pieces, self.scores, self.bpe = pieces, scores, bpe
+        self.key = hashlib.md5(repr((pieces, scores, bpe)).encode("utf-8", "surrogatepass")).hexdigest()
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if i in special and re.fullmatch(r"<0x[0-9A-F]{2}>", p)}
         if len(self.byte_ids) != 256:
             raise ValueError("the model has no pieces for bytes")
@@ -262,17 +264,17 @@ def gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.nd
     return flat[np.arange(total) + shift], sizes
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def _encoder(sent) -> Encoder:
     """One encoder per Python worker, kept from task to task."""
-    key = sent.value.pieces.__len__(), hash(tuple(sent.value.pieces[:999]))
-    if key not in _encoders:
+    model = sent.value
+    if model.key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(sent.value)
+        _encoders[model.key] = Encoder(model)
         gc.freeze()  # its many small lists live as long as the worker
-    return _encoders[key]
+    return _encoders[model.key]
 
 
 def _sent(spark: SparkSession, model: str):
