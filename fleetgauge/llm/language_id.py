@@ -90,9 +90,12 @@ def _sample(df: DataFrame, text: str, lang: str, learn_from: Column, per_languag
     usable = df.where(learn_from & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")
     )
-    share = usable.groupBy("_lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_share"))
+    sizes = usable.groupBy("_lang").agg(F.count("*").alias("n")).collect()  # a row per language learned
+    if not sizes:
+        return usable
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["_lang"], min(1.0, per_language / r["n"]))])
     place = F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) / (1 << 20)
-    return usable.join(share, "_lang").where(place < F.col("_share")).select("_text", "_lang")
+    return usable.where(place < share[F.col("_lang")])
 
 
 def fit(df: DataFrame, learn_from: Column, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
