@@ -289,9 +289,16 @@ def main_texts(htmls: list[str | None], model: Labeller) -> list[str]:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
-    """Trains on the pages with the smallest hashes, at most `sample` of them."""
-    rows = pages.where("html is not null").select("html").orderBy(F.xxhash64("html"), "html").limit(sample).toPandas()
-    return train(rows["html"].tolist())
+    """Trains on the different pages with the smallest hashes, at most `sample` of them.
+
+    The bound is found on the hashes alone, so no more than that many pages ever come to the driver.
+    """
+    hashed = pages.where("html is not null").select("html", F.xxhash64("html").alias("_h"))
+    least = [r["_h"] for r in hashed.select("_h").distinct().orderBy("_h").limit(sample).collect()]
+    if not least:
+        return train([])
+    rows = hashed.where(F.col("_h") <= least[-1]).groupBy("_h").agg(F.min("html").alias("html")).toPandas()
+    return train(rows.sort_values("_h")["html"].tolist())
 
 
 def extract(pages: DataFrame, model: Labeller, html: str = "html") -> DataFrame:
