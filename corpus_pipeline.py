@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetgauge.llm import jaccard_join, mixing, pieces, quality_rules, secrets_scan
-from fleetgauge.llm.tables import BATCH_ROWS, small_batches, table
+from fleetgauge.llm.tables import small_batches, table
 from fleetgauge.session import prepare, work_path
 
 
@@ -35,13 +35,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text beside the columns of documents but the text."""
-    _settings(spark, 2 * BATCH_ROWS)
+    _settings(spark)
     return pieces.encode(docs).drop("text")
 
 
-def _settings(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def _settings(spark: SparkSession) -> None:
     prepare(spark)
-    small_batches(spark, rows)
+    small_batches(spark)
 
 
 STAGES = [

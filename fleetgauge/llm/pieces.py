@@ -33,7 +33,7 @@ from fleetgauge.llm.tables import add_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
-_KEPT = 200_000  # words and pairs remembered by a task
+_KEPT = 100_000  # words and pairs remembered by a task
 
 
 class PieceModel:
