@@ -85,21 +85,31 @@ class Letters:
         self.scripts = kinds[np.searchsorted(points, flat.codes[self.starts], side="right") - 1]
 
 
-def _sample(df: DataFrame, text: str, lang: str, learn_from: Column, per_language: int) -> DataFrame:
-    """About `per_language` texts of each language, those with the smallest hashes."""
+def _sample(df: DataFrame, text: str, lang: str, learn_from: Column, per_language: int, spread: list[str]) -> DataFrame:
+    """About `per_language` texts of each language, those with the smallest hashes of `spread` and the text.
+
+    Where `spread` tells the rows of one text apart, a text with very many copies is sampled like any
+    others; otherwise its copies come in or stay out together.
+    """
     usable = df.where(learn_from & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")
+        F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.xxhash64(*spread, text).alias("_hash")
     )
     sizes = usable.groupBy("_lang").agg(F.count("*").alias("n")).collect()  # a row per language learned
     if not sizes:
-        return usable
+        return usable.drop("_hash")
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["_lang"], min(1.0, per_language / r["n"]))])
-    place = F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) / (1 << 20)
-    return usable.where(place < share[F.col("_lang")])
+    place = F.pmod("_hash", F.lit(1 << 20)) / (1 << 20)
+    return usable.where(place < share[F.col("_lang")]).drop("_hash")
 
 
-def fit(df: DataFrame, learn_from: Column, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Counts trigrams and scripts of a bounded sample per language; the counts are added up by Spark."""
+def fit(
+    df: DataFrame, learn_from: Column, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE,
+    spread: tuple[str, ...] = (),
+) -> LanguageModel:
+    """Counts trigrams and scripts of a bounded sample per language; the counts are added up by Spark.
+
+    `spread`: columns, such as an id, that spread the copies of one text over the sample's hashes.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -119,7 +129,7 @@ def fit(df: DataFrame, learn_from: Column, text: str = "text", lang: str = "lang
                 [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "at", "n"]
             )
 
-    counted = _sample(df, text, lang, learn_from, per_language).mapInArrow(count, "lang string, at int, n long")
+    counted = _sample(df, text, lang, learn_from, per_language, list(spread)).mapInArrow(count, "lang string, at int, n long")
     rows = counted.groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()  # bounded by table and languages
     names = sorted(rows["lang"].unique())
     totals = np.zeros(((1 << BITS) + N_SCRIPTS, len(names)))
@@ -222,6 +232,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def digest(df: DataFrame) -> DataFrame:
     """`doc_id, held_out, lang_pred, score` of every row of `documents`."""
-    model = fit(df, ~held_out())
+    model = fit(df, ~held_out(), spread=("doc_id",))
     found = identify(df.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -44,6 +44,12 @@ def test_spans_of_mixed_text_and_edges(spark, languages, docs):
     assert {r.lang_pred for r in language_id.identify(df, none).collect()} == {"und"}
 
 
+def test_copies_of_one_text_do_not_fill_the_sample(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"), F.lit("en").alias("lang"))
+    some = language_id._sample(df, "text", "lang", F.lit(True), 100, ["doc_id"])
+    assert 50 < some.count() < 150
+
+
 def test_viterbi_equals_every_path():
     r = np.random.default_rng(2)
     sizes = [0, 1, 5, 0, 6, 3]
