@@ -110,7 +110,7 @@ def _(spark, sf):
 
 @query("kmeans8")
 def _(spark, sf):
-    return M.kmeans8(series(spark, sf), starts=2)[0].select("id", "label", F.array_min("dist").alias("nearest"))
+    return M.kmeans8(series(spark, sf))[0].select("id", "label", F.array_min("dist").alias("nearest"))
 
 
 @query("pca3")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
@@ -24,8 +27,17 @@ def pca3(series: DataFrame, k: int = 3) -> tuple[DataFrame, list[float]]:
     return out, [float(x) for x in model.explainedVariance.toArray()]
 
 
+_AT_ONCE = 8  # starts that share the cluster; each is a chain of short jobs
+
+
 def _best(df: DataFrame, k: int, starts: int, seed: int):
-    fits = [KMeans(k=k, seed=seed + n, featuresCol="_x").fit(df) for n in range(starts)]
+    """The start of least cost, the first among equals."""
+
+    def fit(n: int):
+        return KMeans(k=k, seed=seed + n, featuresCol="_x").fit(df)
+
+    with ThreadPool(min(starts, _AT_ONCE)) as pool:
+        fits = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(starts))
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
