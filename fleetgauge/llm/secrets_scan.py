@@ -40,8 +40,17 @@ CONFIRMED_KINDS = ("pem", "der", "ssh", "jwt")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 # DER starts with a sequence (30): base64 'M', hex '30'. SSH fields start with three zero bytes or the magic.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-Za-z0-9+/_-]{30,}|AAAA[A-Za-z0-9+/]{28,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]{40,})={0,2}")
+# Base64 starts count wherever they stand in a run, as '/' and '_' are both base64 and what stands ahead of a key.
+_DER_START = re.compile(r"M(?=[A-P][A-Za-z0-9+/_-]{10})")
+_SSH_START = re.compile(r"AAAA(?=[B-Za-z0-9+/][A-Za-z0-9+/]{7})|b3BlbnNzaC1rZXktdjEA")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_PADDING = re.compile(r"={0,2}")
+_LEAST_BASE64 = 32
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
+_SSH_FIELDS = {  # how many fields a public key of each type has
+    b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3,
+    b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4,
+}
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-ed25519", b"sk-ecdsa-sha2-")
 _MAGIC = b"openssh-key-v1\0"
 _MOST_DEPTH = 12  # keys nest far less deep
@@ -133,6 +142,56 @@ def is_ssh_key(data: bytes) -> bool:
     return fields >= 2
 
 
+def _read(text: str, at: int, size: int) -> tuple[bytes, int] | None:
+    """`size` bytes of the base64 from `at` on, and where its characters end."""
+    n = -(-4 * size // 3)
+    m = _RUN.match(text, at, at + n)
+    if not m or m.end() - at < n or (data := decode64(m[0])) is None:
+        return None
+    return data, m.end()
+
+
+def _der_end(text: str, at: int) -> int | None:
+    """End of the encoded DER key that begins at `at`; its own length says where that is."""
+    head = _read(text, at, 9)
+    if not head or head[0][0] != 0x30 or not (found := der_length(head[0], 1)) or head[0][found[1]] not in (0x02, 0x30):
+        return None
+    size = sum(found)
+    if size > len(text) - at or not (got := _read(text, at, size)) or not is_der_key(got[0]):
+        return None
+    return got[1]
+
+
+def _fields_end(text: str, at: int, start: int, count: int) -> int | None:
+    """Offset of the byte after `count` fields that begin at byte `start` of what is encoded at `at`."""
+    for _ in range(count):
+        if start + 4 > len(text) or not (got := _read(text, at, start + 4)):
+            return None
+        start += 4 + int.from_bytes(got[0][start : start + 4], "big")
+    return start
+
+
+def _ssh_end(text: str, at: int) -> int | None:
+    """End of the encoded SSH key or container that begins at `at`: after its fields, or that of the run they fill."""
+    end, size = None, None
+    if (head := _read(text, at, len(_MAGIC))) and head[0] == _MAGIC:
+        start = _fields_end(text, at, len(_MAGIC), 3)
+        if start and start + 4 <= len(text) and (got := _read(text, at, start + 4)):
+            size = _fields_end(text, at, start + 4, int.from_bytes(got[0][start:], "big") + 1)
+    else:
+        start = _fields_end(text, at, 0, 1)
+        if not start or start > len(text) or not (got := _read(text, at, start)) or not got[0][4:].startswith(_SSH_TYPES):
+            return None
+        if got[0][4:] in _SSH_FIELDS:
+            size = _fields_end(text, at, 0, _SSH_FIELDS[got[0][4:]])
+    if size and size <= len(text) and (got := _read(text, at, size)) and is_ssh_key(got[0]):
+        end = got[1]
+    run = _RUN.match(text, at)
+    if run and run.end() != end and (data := decode64(run[0])) and is_ssh_key(data):
+        end = run.end()
+    return end
+
+
 def is_signed_token(text: str) -> bool:
     """Three base64 parts; header and claims are JSON objects and the header names an algorithm."""
     head, claims, _ = text.split(".", 2)
@@ -162,15 +221,17 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             data = decode64(m[2])
             if data and (is_der_key(data) or is_ssh_key(data)):
                 out.append(("pem", *m.span()))
-    inside = [(a, b) for _, a, b in out]
-    for m in _BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in inside):
-            continue  # a line of a block that is reported as a whole
-        data = decode64(m[0])
-        if data and is_der_key(data):
-            out.append(("der", *m.span()))
-        elif data and is_ssh_key(data):
-            out.append(("ssh", *m.span()))
+    blocks = [(a, b) for _, a, b in out]
+    for kind, starts, end_of in (("der", _DER_START, _der_end), ("ssh", _SSH_START, _ssh_end)):
+        done = 0
+        for m in starts.finditer(text):
+            at = m.start()
+            if at < done or any(a <= at < b for a, b in blocks):
+                continue  # inside a key or block that is reported as a whole
+            end = end_of(text, at)
+            if end and end - at >= _LEAST_BASE64:
+                done = _PADDING.match(text, end).end()
+                out.append((kind, at, done))
     for m in _HEX_DER.finditer(text):
         if not (m.end() - m.start()) % 2 and is_der_key(bytes.fromhex(m[0])):
             out.append(("der", *m.span()))

@@ -108,6 +108,15 @@ def test_structure_confirms_keys_and_tokens():
     assert kinds(f"jwt {JWT} ok") == [("jwt", JWT)]
 
 
+def test_keys_are_found_right_behind_other_characters():
+    for ahead in ("PRIVATE_KEY=", "path/", "a/b_", "x-", "key+", 'k="', "=", "//", "AAAA/"):
+        for kind, key in (("der", b64(RSA)), ("der", b64(PUBLIC)), ("ssh", SSH)):
+            for behind in (" ok", "", "/x", '"'):
+                assert kinds(f"{ahead}{key}{behind}") == [(kind, key)], (ahead, kind, behind)
+    text = f"deploy_key={SSH}"
+    assert secrets_scan.mask(text, secrets_scan.find_secrets(text)) == "deploy_key=[secret]"
+
+
 def test_what_only_looks_like_a_secret_is_not_confirmed():
     broken = RSA[:-1] + b""
     assert kinds(f"key {b64(broken)} ok") == []
