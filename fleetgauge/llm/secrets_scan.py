@@ -7,7 +7,9 @@ Two families of spans come out of a text:
 * confirmed: base64 or hex runs are decoded, and reported only when the bytes are what such a secret
   has to be: a DER private or public key whose nested lengths add up, an OpenSSH key or its wire form
   of length-prefixed fields, a PEM block around such bytes, or a signed token whose header is JSON with
-  an algorithm and whose claims are a JSON object.
+  an algorithm and whose claims are a JSON object. Runs may be wrapped over lines, and line ends may be
+  escaped (JSON, env files). A PEM body encrypted under its own headers has no structure left; there the
+  headers and whole cipher blocks confirm.
 
 Base spans always stay; confirmed ones are added beside them. Offsets are code points, end exclusive.
 Null and empty texts have no spans. Repeated rows get equal results. Every text is scanned whole, and
@@ -37,16 +39,21 @@ BASE_KINDS = ("assign", "access", "hex")
 # Kinds the structure confirms, in the order they are listed after the base kinds.
 CONFIRMED_KINDS = ("pem", "der", "ssh", "jwt")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----")
+_ESCAPED = re.compile(r"\\+(?:[rn]|(?=[/\s]))")
+_HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*):(.*)")
+_CIPHER = re.compile(r"[A-Za-z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 # DER starts with a sequence (30): base64 'M', hex '30'. SSH fields start with three zero bytes or the magic.
 # Base64 starts count wherever they stand in a run, as '/' and '_' are both base64 and what stands ahead of a key.
 _DER_START = re.compile(r"M(?=[A-P][A-Za-z0-9+/_-]{10})")
 _SSH_START = re.compile(r"AAAA(?=[B-Za-z0-9+/][A-Za-z0-9+/]{7})|b3BlbnNzaC1rZXktdjEA")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_WRAP = re.compile(r"[\x20\t]*(?:\r\n?|\n)[\x20\t]*|(?:\\+[rn])+|\\+(?=/)")  # what may stand between the lines of a run
 _PADDING = re.compile(r"={0,2}")
 _LEAST_BASE64 = 32
-_HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
+_HEX_START = re.compile(r"(?<![0-9A-Fa-f])(?:30|000000|6[Ff]70656[Ee])(?=[0-9A-Fa-f]{16})")
+_HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 _SSH_FIELDS = {  # how many fields a public key of each type has
     b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3,
     b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4,
@@ -104,7 +111,8 @@ def is_der_key(data: bytes) -> bool:
     """A sequence that fills the bytes and has the items of a key.
 
     RSA and DSA keys: integers only, at least two (a public key) of which one is long. PKCS8: version,
-    algorithm, octets. Public key info: algorithm, bits. EC keys: version, octets, tagged items.
+    algorithm, octets; encrypted: algorithm (which begins with its id), octets. Public key info: algorithm, bits.
+    EC keys: version, octets, tagged items.
     """
     if len(data) < 24 or data[0] != 0x30 or (found := der_length(data, 1)) is None:
         return False
@@ -117,6 +125,8 @@ def is_der_key(data: bytes) -> bool:
         return True
     if tags == [0x30, 0x03]:
         return True
+    if tags == [0x30, 0x04]:
+        return data[der_length(data, body + 1)[1]] == 0x06
     return tags[:2] == [0x02, 0x04] and all(t in (0xA0, 0xA1) for t in tags[2:])
 
 
@@ -142,56 +152,89 @@ def is_ssh_key(data: bytes) -> bool:
     return fields >= 2
 
 
-def _read(text: str, at: int, size: int) -> tuple[bytes, int] | None:
-    """`size` bytes of the base64 from `at` on, and where its characters end."""
-    n = -(-4 * size // 3)
-    m = _RUN.match(text, at, at + n)
-    if not m or m.end() - at < n or (data := decode64(m[0])) is None:
+def _encoded(text: str, at: int, n: int, run: re.Pattern) -> tuple[str, int] | None:
+    """`n` characters of the run from `at` on, its lines joined, and where they end."""
+    parts = []
+    while True:
+        if not (m := run.match(text, at, at + n)):
+            return None
+        parts.append(m[0])
+        n -= len(m[0])
+        if not n:
+            return "".join(parts), m.end()
+        if not (wrap := _WRAP.match(text, m.end())):
+            return None
+        at = wrap.end()
+
+
+def _read(text: str, at: int, size: int, run: re.Pattern) -> tuple[bytes, int] | None:
+    """`size` bytes of the base64 or hex from `at` on, and where its characters end."""
+    of_hex = run is _HEX_RUN
+    if size > len(text) - at or not (found := _encoded(text, at, 2 * size if of_hex else -(-4 * size // 3), run)):
         return None
-    return data, m.end()
+    data = bytes.fromhex(found[0]) if of_hex else decode64(found[0])
+    return None if data is None else (data, found[1])
 
 
-def _der_end(text: str, at: int) -> int | None:
+def _der_end(text: str, at: int, run: re.Pattern = _RUN) -> int | None:
     """End of the encoded DER key that begins at `at`; its own length says where that is."""
-    head = _read(text, at, 9)
+    head = _read(text, at, 9, run)
     if not head or head[0][0] != 0x30 or not (found := der_length(head[0], 1)) or head[0][found[1]] not in (0x02, 0x30):
         return None
-    size = sum(found)
-    if size > len(text) - at or not (got := _read(text, at, size)) or not is_der_key(got[0]):
-        return None
-    return got[1]
+    got = _read(text, at, sum(found), run)
+    return got[1] if got and is_der_key(got[0]) else None
 
 
-def _fields_end(text: str, at: int, start: int, count: int) -> int | None:
+def _fields_end(text: str, at: int, start: int, count: int, run: re.Pattern) -> int | None:
     """Offset of the byte after `count` fields that begin at byte `start` of what is encoded at `at`."""
     for _ in range(count):
-        if start + 4 > len(text) or not (got := _read(text, at, start + 4)):
+        if not (got := _read(text, at, start + 4, run)):
             return None
         start += 4 + int.from_bytes(got[0][start : start + 4], "big")
     return start
 
 
-def _ssh_end(text: str, at: int) -> int | None:
+def _ssh_end(text: str, at: int, run: re.Pattern = _RUN) -> int | None:
     """End of the encoded SSH key or container that begins at `at`: after its fields, or that of the run they fill."""
     end, size = None, None
-    if (head := _read(text, at, len(_MAGIC))) and head[0] == _MAGIC:
-        start = _fields_end(text, at, len(_MAGIC), 3)
-        if start and start + 4 <= len(text) and (got := _read(text, at, start + 4)):
-            size = _fields_end(text, at, start + 4, int.from_bytes(got[0][start:], "big") + 1)
+    if (head := _read(text, at, len(_MAGIC), run)) and head[0] == _MAGIC:
+        start = _fields_end(text, at, len(_MAGIC), 3, run)
+        if start and (got := _read(text, at, start + 4, run)):
+            size = _fields_end(text, at, start + 4, int.from_bytes(got[0][start:], "big") + 1, run)
     else:
-        start = _fields_end(text, at, 0, 1)
-        if not start or start > len(text) or not (got := _read(text, at, start)) or not got[0][4:].startswith(_SSH_TYPES):
+        start = _fields_end(text, at, 0, 1, run)
+        if not start or not (got := _read(text, at, start, run)) or not got[0][4:].startswith(_SSH_TYPES):
             return None
         if got[0][4:] in _SSH_FIELDS:
-            size = _fields_end(text, at, 0, _SSH_FIELDS[got[0][4:]])
-    if size and size <= len(text) and (got := _read(text, at, size)) and is_ssh_key(got[0]):
+            size = _fields_end(text, at, 0, _SSH_FIELDS[got[0][4:]], run)
+    if size and (got := _read(text, at, size, run)) and is_ssh_key(got[0]):
         end = got[1]
-    run = _RUN.match(text, at)
-    if run and run.end() != end and (data := decode64(run[0])) and is_ssh_key(data):
-        end = run.end()
+    line = run.match(text, at).end()
+    if end is None or line > end:
+        size = (line - at) // 2 if run is _HEX_RUN else 3 * (line - at) // 4
+        if (got := _read(text, at, size, run)) and got[1] == line and is_ssh_key(got[0]):
+            end = line
     return end
 
 
+def is_pem_key(label: str, body: str) -> bool:
+    """A key in the body of a PEM block: header lines if any, then base64, whose line ends may be escaped."""
+    lines = [x for line in _ESCAPED.sub(lambda m: "" if m.end() < len(body) and body[m.end()] == "/" else "\n", body).splitlines() if (x := line.strip())]
+    headers = {}
+    while lines and (m := _HEADER.fullmatch(lines[0])):
+        headers[m[1].lower()] = m[2].strip()
+        lines.pop(0)
+    data = decode64("".join(lines))
+    if not data:
+        return False
+    if is_der_key(data) or is_ssh_key(data):
+        return True
+    cipher = _CIPHER.fullmatch(headers.get("dek-info", ""))
+    if not cipher or not label.endswith("PRIVATE KEY") or not headers.get("proc-type", "").endswith("ENCRYPTED"):
+        return False
+    return len(data) >= 24 and len(data) % 8 == 0
+
+
 def is_signed_token(text: str) -> bool:
     """Three base64 parts; header and claims are JSON objects and the header names an algorithm."""
     head, claims, _ = text.split(".", 2)
@@ -218,9 +261,9 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            data = decode64(m[2])
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                out.append(("pem", *m.span()))
+            stop, last = text.find("-----", m.end()), f"-----END {m[1]}-----"
+            if stop >= 0 and text.startswith(last, stop) and is_pem_key(m[1], text[m.end() : stop]):
+                out.append(("pem", m.start(), stop + len(last)))
     blocks = [(a, b) for _, a, b in out]
     for kind, starts, end_of in (("der", _DER_START, _der_end), ("ssh", _SSH_START, _ssh_end)):
         done = 0
@@ -232,9 +275,13 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             if end and end - at >= _LEAST_BASE64:
                 done = _PADDING.match(text, end).end()
                 out.append((kind, at, done))
-    for m in _HEX_DER.finditer(text):
-        if not (m.end() - m.start()) % 2 and is_der_key(bytes.fromhex(m[0])):
-            out.append(("der", *m.span()))
+    done = 0
+    for m in _HEX_START.finditer(text):
+        if m.start() >= done:
+            kind, end_of = ("der", _der_end) if m[0] == "30" else ("ssh", _ssh_end)
+            if end := end_of(text, m.start(), _HEX_RUN):
+                out.append((kind, m.start(), end))
+                done = end
     if ".ey" in text:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     return out

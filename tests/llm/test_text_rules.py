@@ -117,6 +117,35 @@ def test_keys_are_found_right_behind_other_characters():
     assert secrets_scan.mask(text, secrets_scan.find_secrets(text)) == "deploy_key=[secret]"
 
 
+CONTAINER = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + b"\0\0\0\1" + field(b"k" * 51) + field(b"p" * 136)
+SEALED = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(4, b"salt" * 2))) + der(4, bytes(range(160))))
+
+
+def wrapped(x, end="\n"):
+    return end.join(re.findall(".{1,64}", x))
+
+
+def test_all_forms_of_keys_are_confirmed():
+    block = lambda label, body, end="\n": f"-----BEGIN {label}-----{end}{body}{end}-----END {label}-----"
+    head = "Proc-Type: 4,ENCRYPTED{0}DEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF{0}{0}"
+    for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n"):
+        for label, body in (
+            ("RSA PRIVATE KEY", wrapped(b64(RSA), end)), ("ENCRYPTED PRIVATE KEY", wrapped(b64(SEALED), end)),
+            ("RSA PRIVATE KEY", head.format(end) + wrapped(b64(bytes(range(0, 256, 2)) * 4), end)),
+            ("RSA PRIVATE KEY", f"Comment: mine{end}{end}" + wrapped(b64(RSA), end)),
+            ("OPENSSH PRIVATE KEY", wrapped(b64(CONTAINER), end)),
+        ):
+            found = [x for x in kinds(f"see {block(label, body, end)} ok") if x[0] != "hex"]  # the vector in a header is hex
+            assert found == [("pem", block(label, body, end))], (label, end)
+        for kind, key in (("der", RSA), ("der", PUBLIC), ("der", SEALED), ("ssh", CONTAINER)):
+            assert kinds(f"key={wrapped(b64(key), end)} ok") == [(kind, wrapped(b64(key), end))], (kind, end)
+    for kind, key in (("ssh", base64.b64decode(SSH)), ("ssh", CONTAINER), ("der", SEALED), ("der", RSA)):
+        assert (kind, key.hex()) in kinds(f"x={key.hex()} ok")
+        assert (kind, wrapped(key.hex())) in kinds(f"x={wrapped(key.hex())} ok")
+    assert kinds(block("RSA PRIVATE KEY", b64(bytes(range(128))))) == []
+    assert "pem" not in dict(kinds(block("CERTIFICATE", head.format("\n") + b64(bytes(range(128))))))
+
+
 def test_what_only_looks_like_a_secret_is_not_confirmed():
     broken = RSA[:-1] + b""
     assert kinds(f"key {b64(broken)} ok") == []
