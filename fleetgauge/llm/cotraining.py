@@ -6,11 +6,14 @@ every round each classifier labels the pool, and what it is sure of becomes trai
 other one. A part of the labels is kept aside: on it each view is calibrated, and the two calibrated log
 odds are combined by a last logistic fit. All documents are then scored by both views.
 
-The fit uses at most `labelled` labelled rows and `pool` others, those of the smallest hashes; their features
-are small and come to the driver. Scoring covers every row and the whole of every text.
+The fit uses at most `labelled` labelled documents, at least half of that room open to either class, and `pool`
+others, those of the smallest hashes; their features are small and come to the driver. Both classes are dealt into
+the part kept aside, and there each counts as often as it stands among all labels of documents. Scoring covers
+every row and the whole of every text.
 
 Null texts count as empty. Labels that are null are left out; an id with several labels takes the majority,
-good among equals. Without labels of both kinds every document gets the share of good ones (1 without any).
+good among equals; labels of ids that are not in the documents are left out. With fewer than two labels of either
+kind (one to fit on, one kept aside) every document gets the share of good ones (1 without any).
 An id with several texts is used once in the fit; repeated rows get equal scores.
 """
 
@@ -26,13 +29,14 @@ from pyspark.sql import functions as F
 
 from fleetgauge.llm.arrays import Flat, groups, mix, repeated
 from fleetgauge.llm.tables import add_columns
+from fleetgauge.session import written
 
 LABELLED = 4000
 POOL = 4000
 ROUNDS = 3
 SURE = 0.97  # calibrated probability from which a pseudo-label is passed on
 PASSED_ON = 400  # most pseudo-labels of either kind a view gives away in a round
-ASIDE = 4  # every 4th label is kept for calibration
+ASIDE = 4  # every 4th label of a class is kept for calibration
 
 WORD_BITS = 12
 SOURCE_BITS, LANG_BITS = 8, 6
@@ -154,11 +158,11 @@ def fit_logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, size: int, ridge:
     return w
 
 
-def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset that turn a score into log odds."""
     n = len(z)
     x = Sparse(n, np.tile(np.arange(n), 2), np.repeat([0, 1], n), np.concatenate([z, np.ones(n)]))
-    a, b = fit_logistic(x, y, np.ones(n), 2, 1e-3, 300)
+    a, b = fit_logistic(x, y, weight, 2, 1e-3, 300)
     return float(a), float(b)
 
 
@@ -181,14 +185,18 @@ class CoModel:
         return sigmoid(a), sigmoid(b), sigmoid(j[0] * a + j[1] * b + j[2])
 
 
-def co_train(content: Sparse, meta: Sparse, label: np.ndarray, rounds: int = ROUNDS) -> CoModel:
-    """`label`: 1 good, 0 bad, -1 not labelled (the pool)."""
+def co_train(
+    content: Sparse, meta: Sparse, label: np.ndarray, rounds: int = ROUNDS, stands_for: tuple[float, float] = (1.0, 1.0)
+) -> CoModel:
+    """`label`: 1 good, 0 bad, -1 not labelled (the pool). `stands_for`: labels that one bad, one good row stands for."""
     known = np.flatnonzero(label >= 0)
-    prior = float(label[known].mean()) if len(known) else 1.0
+    prior = float(np.average(label[known], weights=np.take(stands_for, label[known]))) if len(known) else 1.0
     none = CoModel(None, None, (1.0, 0.0), (1.0, 0.0), (0.5, 0.5, 0.0), prior)
-    aside, base = known[::ASIDE], np.setdiff1d(known, known[::ASIDE])
+    aside = np.sort(np.concatenate([known[label[known] == kind][::ASIDE] for kind in (0, 1)]))
+    base = np.setdiff1d(known, aside)
     if any(len(set(label[x].tolist())) < 2 for x in (aside, base)):
         return none
+    often = np.take(stands_for, label[aside])
     pool = np.flatnonzero(label < 0)
     views = [(content, N_CONTENT), (meta, N_META)]
     extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels a view was given by the other
@@ -201,7 +209,7 @@ def co_train(content: Sparse, meta: Sparse, label: np.ndarray, rounds: int = ROU
             share = y.mean()
             weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * np.where(np.arange(len(rows)) < len(base), 1.0, 0.5)
             w = fit_logistic(x.take(rows), y, weight, size)
-            fitted.append((w, calibrate(x.take(aside).dot(w), label[aside].astype(float))))
+            fitted.append((w, calibrate(x.take(aside).dot(w), label[aside].astype(float), often)))
         if step == rounds or not len(pool):
             break
         for v, other in ((0, 1), (1, 0)):
@@ -216,7 +224,7 @@ def co_train(content: Sparse, meta: Sparse, label: np.ndarray, rounds: int = ROU
     b = lm[0] * meta.take(aside).dot(wm) + lm[1]
     n = len(aside)
     both = Sparse(n, np.tile(np.arange(n), 3), np.repeat([0, 1, 2], n), np.concatenate([a, b, np.ones(n)]))
-    joint = fit_logistic(both, label[aside].astype(float), np.ones(n), 3, 1e-3, 300)
+    joint = fit_logistic(both, label[aside].astype(float), often, 3, 1e-3, 300)
     return CoModel(wc, wm, lc, lm, tuple(joint.tolist()), prior)
 
 
@@ -231,7 +239,13 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         (F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("_label")
     )
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    known = written(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
+    n_of = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    n_bad, n_good = n_of.get(0, 0), n_of.get(1, 0)
+    bad = min(n_bad, max(labelled // 2, labelled - n_good))
+    good = min(n_good, labelled - bad)
+    first = lambda kind, n: known.where(F.col("_label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    some = first(0, bad).unionByName(first(1, good))
     ids = docs.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left_anti")
     rest = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).withColumn("_label", F.lit(-1))
     chosen = F.broadcast(some.unionByName(rest))  # at most `labelled` + `pool` rows
@@ -259,7 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
         return Sparse(len(cols), row.astype(np.int64), join(cols, np.int32).astype(np.int64), join(vals, np.float32).astype(np.float64))
 
-    return co_train(table("c"), table("m"), rows["_label"].to_numpy(np.int64))
+    stands_for = (n_bad / max(bad, 1), n_good / max(good, 1))
+    return co_train(table("c"), table("m"), rows["_label"].to_numpy(np.int64), stands_for=stands_for)
 
 
 def score(docs: DataFrame, model: CoModel, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:

@@ -80,6 +80,24 @@ def test_scores_without_labels_and_of_empty_texts(spark):
     assert cotraining.score(docs.limit(0), cotraining.fit(docs, labels.limit(0))).count() == 0
 
 
+def test_a_rare_class_is_fitted_and_kept_aside(spark):
+    n = 200
+    one = lambda y: cotraining.Sparse(n, np.tile(np.arange(n), 2), np.repeat([0, 1], n), np.concatenate([y * 2.0 - 1, np.ones(n)]))
+    y = np.ones(n, np.int64)
+    y[[1, 2]] = 0  # neither is a 4th label
+    model = cotraining.co_train(one(y), one(y), y)
+    assert model.content is not None and ((model.scores(one(y), one(y))[2] >= 0.5) == y).all()
+    assert cotraining.co_train(one(y), one(y), np.where(np.arange(n) == 2, -1, y)).prior == pytest.approx(198 / 199)
+
+    text = lambda k: "click here to buy cheap now " * 9 if k % 50 == 7 else f"The long report number {k} says what was found. " * 9
+    docs = spark.createDataFrame([(k, text(k), "web" if k % 50 == 7 else "book", "en") for k in range(600)], "doc_id long, text string, source string, lang string")
+    labels = spark.range(30000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 != 7).cast("int").alias("quality"))
+    model = cotraining.fit(docs, labels, labelled=40)
+    rows = cotraining.score(docs, model).collect()
+    assert model.content is not None and model.prior == pytest.approx(0.98)
+    assert all(r.kept == (r.doc_id % 50 != 7) for r in rows)
+
+
 def test_views_teach_each_other():
     r = np.random.default_rng(4)
     n = 600
