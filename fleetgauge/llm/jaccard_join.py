@@ -6,8 +6,8 @@
    band hash are candidates: each points to the smallest member of the bucket, which takes an
    aggregation and a join, so a bucket of any size is never gathered.
 3. The candidates' graph falls into clusters. A cluster is cut into blocks of bounded size by hash,
-   each pair of blocks is one unit of work, and the pairs in it that share any band are checked on
-   their full sets. Units give back links per member and the edges of a spanning forest, never pairs.
+   each pair of blocks is one unit of work, and all pairs in it whose sizes allow the similarity are
+   checked on their full sets, whether they share a band or not. Units give back links per member and the edges of a spanning forest, never pairs.
 4. The classes are the connected components of those edges.
 
 The work on a cluster of texts that are all alike but all different grows with the square of its size, as
@@ -151,48 +151,48 @@ def _blocks(members: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _with_sets(df: DataFrame, doc_id: str, text: str, placed: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """Placed members with their shingle sets and band hashes, made again from their texts.
+def _with_sets(df: DataFrame, doc_id: str, text: str, placed: DataFrame, n: int) -> DataFrame:
+    """Placed members with their shingle sets, made again from their texts.
 
     Rows that repeat one (id, text) give a member several times; units drop the repeats.
     """
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
-        sets, sigs = [], []
+        sets = []
         for shingles, offsets in shingle_sets(batch.column("_text").to_pylist(), n):
-            sig = signatures(shingles, offsets, bands, rows)
             for k in range(len(offsets) - 1):
                 sets.append(shingles[offsets[k] : offsets[k + 1]].tobytes())
-                sigs.append(sig[k].tobytes())
-        return {"shingles": sets, "sig": sigs}
+        return {"shingles": sets}
 
     source = df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     texts = source.join(
         placed, source["_id"].eqNullSafe(placed["id"]) & (source["_hash"] == placed["text_hash"])
     ).select("key", "cluster", "block", "n_blocks", "copies", "_text")
-    return add_columns(texts, work, {"shingles": "binary", "sig": "binary"}, "_text").drop("_text")
+    return add_columns(texts, work, {"shingles": "binary"}, "_text").drop("_text")
 
 
-def _pairs_to_check(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
-    """Which pairs share any band."""
-    shared = np.zeros((len(sig_a), len(sig_b)), bool)
-    for k in range(sig_a.shape[1]):
-        shared |= sig_a[:, k][:, None] == sig_b[:, k][None, :]
-    return shared
+def _pairs_to_check(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs can reach the threshold: the intersection is no larger than the smaller set, the union no smaller than the larger."""
+    a, b = size_a[:, None], size_b[None, :]
+    return np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
 
 
 _COLUMNS = 4096  # shingles multiplied at once
 
 
-def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set of `a` with every set of `b`.
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> np.ndarray:
+    """Sizes of the intersections of every set of `a` with every set of `b`; when both are the `same` sets, off the diagonal.
 
-    Only shingles that occur on both sides count; they become columns of two 0/1 matrices, whose
+    Only shingles that occur on both sides (in two sets, when they are the same) count; they become columns of two 0/1 matrices, whose
     product is summed over slices of columns.
     """
     rows_a, rows_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
     flat_a, flat_b = np.concatenate(a), np.concatenate(b)
-    common = np.intersect1d(flat_a, flat_b)
+    if same:
+        common, times = np.unique(flat_a, return_counts=True)
+        common = common[times > 1]
+    else:
+        common = np.intersect1d(flat_a, flat_b)
     out = np.zeros((len(a), len(b)), np.float32)
     place = lambda flat: np.searchsorted(common, flat)
     hold_a, hold_b = np.isin(flat_a, common), np.isin(flat_b, common)
@@ -212,8 +212,11 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(a: list[np.ndarray], b: list[np.ndarray], check: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs to check have at least the similarity wanted, on their full sets."""
+def _linked(a: list[np.ndarray], b: list[np.ndarray], check: np.ndarray, threshold: float, same: bool) -> np.ndarray:
+    """Which of the pairs to check have at least the similarity wanted, on their full sets.
+
+    When `a` and `b` are the `same` sets, `check` is symmetric and leaves the diagonal out.
+    """
     out = np.zeros(check.shape, bool)
     n_check = int(check.sum())
     if not n_check:
@@ -225,7 +228,7 @@ def _linked(a: list[np.ndarray], b: list[np.ndarray], check: np.ndarray, thresho
             out[i, j] = both >= threshold * (len(a[i]) + len(b[j]) - both) - 1e-9
         return out
     part_a, part_b = [a[i] for i in use_a], [b[j] for j in use_b]
-    both = _intersections(part_a, part_b).astype(np.float64)
+    both = _intersections(part_a, part_b, same).astype(np.float64)
     sizes = np.array([len(x) for x in part_a])[:, None] + np.array([len(x) for x in part_b])[None, :]
     out[np.ix_(use_a, use_b)] = both >= threshold * (sizes - both) - 1e-9
     return out & check
@@ -247,28 +250,27 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def compare_unit(rows: list[tuple], same: bool, threshold: float) -> Iterator[tuple[bytes, bytes, int]]:
     """(key, key of its local root, links) of the members of one unit that have a link.
 
-    `rows`: (side, key, copies, shingles, sig); `same` when both sides are one block.
+    `rows`: (side, key, copies, shingles); `same` when both sides are one block.
     """
-    keys, copies, sets, sigs, sides = [], [], [], [], []
+    keys, copies, sets, sides = [], [], [], []
     seen = set()
-    for side, key, n, shingles, sig in rows:
+    for side, key, n, shingles in rows:
         if key not in seen:
             seen.add(key)
             keys.append(key)
             copies.append(n)
             sets.append(np.frombuffer(shingles, np.uint64))
-            sigs.append(np.frombuffer(sig, np.uint64))
             sides.append(side)
     side = np.array(sides)
     left = np.arange(len(keys)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     if not len(left) or not len(right) or len(keys) < 2:
         return
-    sig = np.stack(sigs)
-    check = _pairs_to_check(sig[left], sig[right])
+    size = np.array([len(x) for x in sets])
+    check = _pairs_to_check(size[left], size[right], threshold)
     if same:
         np.fill_diagonal(check, False)
-    found = _linked([sets[k] for k in left], [sets[k] for k in right], check, threshold)
+    found = _linked([sets[k] for k in left], [sets[k] for k in right], check, threshold, same)
     weight = np.array(copies, np.int64)
     links = np.zeros(len(keys), np.int64)
     links[left] += found @ weight[right]
@@ -283,9 +285,9 @@ def compare_unit(rows: list[tuple], same: bool, threshold: float) -> Iterator[tu
 def _units(sets: DataFrame, threshold: float) -> DataFrame:
     """`key, root, links` of every unit: a pair of blocks of one cluster."""
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("o")
-    spread = sets.select("cluster", "block", "key", "copies", "shingles", "sig", other).select(
+    spread = sets.select("cluster", "block", "key", "copies", "shingles", other).select(
         "cluster", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"),
-        (F.col("block") > F.col("o")).cast("int").alias("side"), "key", "copies", "shingles", "sig",
+        (F.col("block") > F.col("o")).cast("int").alias("side"), "key", "copies", "shingles",
     )
     unit = ["cluster", "p", "q"]
 
@@ -335,7 +337,7 @@ def similarity_classes(
     )
     edges = written(_candidates(members), "candidates")
     placed = written(_blocks(members, edges), "placed")
-    found = written(_units(_with_sets(df, doc_id, text, placed, words, bands, rows), threshold), "found")
+    found = written(_units(_with_sets(df, doc_id, text, placed, words), threshold), "found")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     forest = found.where(F.col("key") != F.col("root")).select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
     roots = components(links.select(F.col("key").alias("id")), forest).select(F.col("id").alias("key"), "root")

@@ -68,6 +68,20 @@ def test_classes_and_links_equal_brute_force(spark, monkeypatch):
     assert got == _brute(rows)
 
 
+def test_links_without_a_shared_band_are_counted(spark):
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(300):
+        w = list(base)
+        for j in range(2):
+            w[r.randrange(5, 195)] = f"x{k}_{j}"  # most pairs are 0.81 alike
+        texts.append(" ".join(w))
+    rows = [(k, t, "x", "y", "s") for k, t in enumerate(texts)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.digest(_docs(spark, rows)).collect())
+    assert got == _brute(rows)
+
+
 def test_one_row_of_each_class_stays(spark):
     texts = _copies(2, 3) + [None, "lone words here"]
     rows = [(k, t, "x", "y", "s") for k, t in enumerate(texts)] + [(0, texts[0], "x", "y", "s")]
