@@ -1,7 +1,8 @@
 """Cutting a page into blocks: runs of text between block-level tags, with the path of open elements.
 
 A tolerant reader in the manner of browsers: unclosed paragraphs and list items end where the next
-begins, stray end tags are ignored, scripts, styles and other contents that are no text are skipped.
+begins, stray end tags are ignored, elements of raw text (scripts, styles, titles and the like) are skipped. All
+other elements are opened, so what they hold (formulas, fallback texts) is judged by its path.
 """
 
 from __future__ import annotations
@@ -12,14 +13,13 @@ from typing import NamedTuple
 
 # Element names of the HTML standard by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset(
-    "script style noscript template svg math iframe object canvas audio video title textarea datalist".split()
-)
+SKIPPED = frozenset("script style noscript iframe title textarea".split())  # read as raw text up to their end tag
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table "
     "tbody td tfoot th thead tr ul".split()
 )
+FOREIGN = frozenset("svg math".split())  # inside these a slash closes an element
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # What an element closes when it begins.
 CLOSES = {
@@ -53,7 +53,7 @@ def _tokens(tag: str, attributes: str, known: dict) -> tuple[str, ...]:
         names = [tag]
         for m in _NAMES.finditer(attributes):
             names += [w.lower() for w in _WORDS.findall(m[1] or m[2] or m[3] or "") if len(w) > 1]
-        if _HIDDEN.search(attributes):
+        if _HIDDEN.search(attributes) or tag in ("template", "datalist"):  # browsers don't show these
             names.append("!hidden")
         if len(known) > 50_000:
             known.clear()
@@ -125,7 +125,7 @@ def read_blocks(html: str | None) -> list[PageBlock]:
             if not attributes.rstrip().endswith("/"):
                 at = _end_of(html, tag, at)
             continue
-        if tag in VOID:
+        if tag in VOID or attributes.rstrip().endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack)):
             continue
         stack.append((tag, _tokens(tag, attributes, _known)))
         links += tag == "a"

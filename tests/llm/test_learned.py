@@ -112,6 +112,18 @@ def test_views_teach_each_other():
     assert ((model.scores(sparse(view(0.5)), sparse(view(0.7)))[2] >= 0.5) == y).mean() > 0.97
 
 
+@pytest.mark.parametrize("tag", ["math", "svg", "object", "canvas", "audio", "video", "template", "datalist"])
+def test_contents_of_elements_that_hold_no_raw_text_are_read(tag):
+    whole = read_blocks(f"<article><p>one <{tag}>two</{tag}> three</p><p>four</p></article>")
+    assert [b.text for b in whole] == ["one two three", "four"]
+    unclosed = read_blocks(f"<article><p>one</p><{tag}><p>two</p><p>three</p></article><p>four</p>")
+    assert [b.text for b in unclosed] == ["one", "two", "three", "four"]
+    assert tag in unclosed[1].path and tag not in unclosed[3].path
+    nested = read_blocks(f"<p>a</p><{tag}>x<{tag}>y</{tag}>z</{tag}><p>b</p>")
+    assert " ".join(b.text for b in nested) == "a xyz b" and tag not in nested[-1].path
+    assert read_blocks("<p>a</p><script>var x = '<p>'</script><p>b</p>")[1].text == "b"
+
+
 def test_blocks_of_untidy_pages():
     html = """<!DOCTYPE html><head><title>no</title><style>p{}</style></head><body><!-- <p>no</p> -->
     <p>One <b>t</b>wo<br>three &amp; f&eacute;<p>four</i> five<ul><li>a<li>b</ul><script>var x = "</p>";</script>
