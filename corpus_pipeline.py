@@ -34,9 +34,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text beside the columns of documents but the text."""
+    """Ids of every text, and whether they give it back, beside the columns of documents but the text."""
     _settings(spark)
-    return pieces.encode(docs).drop("text")
+    return pieces.encode(docs, check=True).drop("text")
 
 
 def _settings(spark: SparkSession) -> None:

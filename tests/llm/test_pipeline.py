@@ -98,3 +98,9 @@ def test_every_dealt_operator_is_registered():
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_equals_its_sql(spark, name):
     assert compare(entry.queries()[name](spark, SF), connect(SF), entry.oracle_sql()[name]) is None
+
+
+def test_the_last_stage_says_whether_the_ids_give_the_text_back(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "a ▁ b")], "doc_id long, text string")
+    got = {r.doc_id: r.round_trip for r in corpus_pipeline.tokens(spark, docs, SF).collect()}
+    assert got == {1: True, 2: True, 3: False}
