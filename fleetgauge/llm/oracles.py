@@ -81,3 +81,47 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
+
+# crc32 of the decimal digits of `id`, from a table of 256 remainders made by the polynomial.
+_CRC_TABLE = """tab AS MATERIALIZED (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b))"""
+
+
+def _crc(id: str, t: str = "(SELECT t FROM tab)") -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(string_split(CAST({id} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda c, x: xor(c >> 8, list_extract({t}, CAST((xor(c, x) & 255) + 1 AS BIGINT)))))"""
+
+
+def _field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE concat(strlen(CAST({x} AS VARCHAR)), ':', {x}) END"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+c AS MATERIALIZED (SELECT doc_id, {_crc('doc_id', 't')} AS h FROM (SELECT DISTINCT doc_id FROM documents), tab),
+d AS MATERIALIZED (SELECT *, coalesce('+' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos
+  FROM (SELECT doc_id, lang, sha256({_LEAF}) AS leaf, sha256({_LEAF.replace("n_chars", "(n_chars + 1)")}) AS wrong FROM documents)),
+tree AS (SELECT g, 0 AS lev, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM d
+  UNION ALL SELECT g, lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, lev, pos // 2),
+subs AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM tree WHERE n = 1),
+top AS (SELECT 0 AS lev, pos, subroot AS h, count(*) OVER () AS n FROM subs
+  UNION ALL SELECT lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY lev, pos // 2),
+nodes AS MATERIALIZED (SELECT * FROM tree), tops AS MATERIALIZED (SELECT * FROM top),
+low AS (SELECT a.g, a.lev, a.pos, CASE WHEN a.pos % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(b.h, '') AS step
+  FROM nodes a LEFT JOIN nodes b ON b.g = a.g AND b.lev = a.lev AND b.pos = xor(a.pos, 1) WHERE a.n > 1),
+high AS (SELECT a.lev, a.pos, CASE WHEN a.pos % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(b.h, '') AS step
+  FROM tops a LEFT JOIN tops b ON b.lev = a.lev AND b.pos = xor(a.pos, 1) WHERE a.n > 1),
+below AS (SELECT d.doc_id, d.leaf, d.pos, d.g, list(low.step ORDER BY low.lev) FILTER (low.step IS NOT NULL) AS steps
+  FROM d LEFT JOIN low ON low.g = d.g AND low.pos = d.pos >> low.lev GROUP BY ALL),
+above AS (SELECT s.g, s.subroot, list(high.step ORDER BY high.lev) FILTER (high.step IS NOT NULL) AS steps
+  FROM subs s LEFT JOIN high ON high.pos = s.pos >> high.lev GROUP BY ALL),
+p AS (SELECT d.doc_id, d.leaf, a.subroot, (SELECT h FROM tops WHERE n = 1) AS root, list_concat(coalesce(b.steps, []), coalesce(a.steps, [])) AS steps,
+    CASE WHEN c.h % 7 = 0 AND d.wrong IS NOT NULL THEN d.wrong ELSE d.leaf END AS start
+  FROM d JOIN below b ON b.g = d.g AND b.pos = d.pos JOIN above a ON a.g = d.g JOIN c ON c.doc_id IS NOT DISTINCT FROM d.doc_id),
+f AS (SELECT *, list_reduce(list_prepend(start, steps), lambda h, s: CASE WHEN s[1] = 'L' THEN sha256(s[2:] || h) ELSE sha256(h || s[2:]) END) AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_transform(list_prepend('R', steps), lambda s: s[2:]), 'string_agg', '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM f
+"""

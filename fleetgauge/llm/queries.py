@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetgauge.llm import cotraining, html_extract, jaccard_join, language_id, mixing, pieces, quality_rules, secrets_scan, topk_search, warc
+from fleetgauge.llm import cotraining, html_extract, jaccard_join, language_id, merkle, mixing, pieces, quality_rules, secrets_scan, topk_search, warc
 from fleetgauge.llm.tables import BATCH_ROWS, small_batches, table
 from fleetgauge.session import prepare
 
@@ -71,3 +71,8 @@ def _(spark, sf):
 @query("op5_html_extraction")
 def _(spark, sf):
     return html_extract.digest(table(spark, sf, "pages"))
+
+
+@query("op11_merkle_manifest")
+def _(spark, sf):
+    return merkle.digest(table(spark, sf, "documents"))
