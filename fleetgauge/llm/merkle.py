@@ -121,7 +121,7 @@ def proofs(leaves: DataFrame, order: list[str]) -> DataFrame:
     none = F.array().cast(_STEP)
     root = upper[-1].select("grp", "pos", F.col("node").alias("root"), none.alias("steps"))
     tops = _down(upper, root).select(F.col("key").alias("grp"), "steps", F.col("node").alias("subroot"), "root")
-    above = rounds[-1].select("grp", "pos").join(tops, "grp")
+    above = written(rounds[-1].select("grp", "pos").join(tops, "grp"), "steps")
     return _down(rounds, above)
 
 
