@@ -125,3 +125,24 @@ f AS (SELECT *, list_reduce(list_prepend(start, steps), lambda h, s: CASE WHEN s
 SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_transform(list_prepend('R', steps), lambda s: s[2:]), 'string_agg', '')) AS proof_sha256,
   folded_root, folded_root = root AS verified FROM f
 """
+
+ORACLES["op12_word_runs"] = rf"""
+WITH {_CRC_TABLE},
+d AS MATERIALIZED (SELECT *, h % 10 = 0 AND n > 0 AS planted, (h // 10) % greatest(n, 1) AS a, (h // 10) % 8 AS k FROM
+  (SELECT row_number() OVER () AS r, doc_id, {_crc('doc_id', 't')} AS h, ws, CAST(len(ws) AS BIGINT) AS n
+   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents), tab)),
+t AS MATERIALIZED (SELECT r, n, i, list_extract(ws, 1 + CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + k)) ELSE i END) AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM d)),
+same AS (SELECT x.r, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+part AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same),
+stretch AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM part GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS MATERIALIZED (SELECT r, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(min(q) AS BIGINT) AS period FROM stretch GROUP BY r, start, length),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+per AS (SELECT r, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+left_over AS (SELECT t.r, string_agg(t.word, ' ' ORDER BY t.i) AS text FROM t ANTI JOIN gone ON t.r = gone.r AND t.i = gone.i GROUP BY t.r)
+SELECT d.doc_id, CAST(coalesce(per.n_runs, 0) AS BIGINT) AS n_runs, best.start, best.length, best.period,
+  CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(per.listed, '')) AS runs_sha256,
+  sha256(coalesce(left_over.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN per ON per.r = d.r LEFT JOIN best ON best.r = d.r LEFT JOIN left_over ON left_over.r = d.r
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetgauge.llm import cotraining, html_extract, jaccard_join, language_id, merkle, mixing, pieces, quality_rules, secrets_scan, topk_search, warc
+from fleetgauge.llm import cotraining, html_extract, jaccard_join, language_id, merkle, mixing, pieces, quality_rules, secrets_scan, topk_search, warc, word_runs
 from fleetgauge.llm.tables import BATCH_ROWS, small_batches, table
 from fleetgauge.session import prepare
 
@@ -76,3 +76,8 @@ def _(spark, sf):
 @query("op11_merkle_manifest")
 def _(spark, sf):
     return merkle.digest(table(spark, sf, "documents"))
+
+
+@query("op12_word_runs")
+def _(spark, sf):
+    return word_runs.digest(table(spark, sf, "documents"))
