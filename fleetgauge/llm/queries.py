@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetgauge.llm import cotraining, html_extract, jaccard_join, language_id, merkle, mixing, pieces, quality_rules, secrets_scan, topk_search, warc, word_runs
+from fleetgauge.llm import cotraining, html_extract, jaccard_join, katz, language_id, merkle, mixing, pieces, quality_rules, secrets_scan, topk_search, warc, word_runs
 from fleetgauge.llm.tables import BATCH_ROWS, small_batches, table
 from fleetgauge.session import prepare
 
@@ -81,3 +81,8 @@ def _(spark, sf):
 @query("op12_word_runs")
 def _(spark, sf):
     return word_runs.digest(table(spark, sf, "documents"))
+
+
+@query("op13_katz_scores")
+def _(spark, sf):
+    return katz.digest(table(spark, sf, "documents"))

@@ -26,6 +26,10 @@ def arrow_kinds(kinds: dict[str, str]) -> dict[str, pa.DataType]:
     return {f.name: to_arrow_type(f.dataType) for f in fields}
 
 
+def table_type(kind: T.DataType) -> pa.DataType:
+    return to_arrow_type(kind)
+
+
 def add_columns(
     df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, object]], kinds: dict[str, str], *needed: str
 ) -> DataFrame:
