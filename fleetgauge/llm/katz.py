@@ -70,6 +70,12 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(size, n).T.copy().view(kind).ravel()
 
 
+def pack_repeated(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers of which many are equal: the different ones, and which of them stands where."""
+    kinds, which = np.unique(values, return_inverse=True)
+    return pack(kinds), pack(which.astype(np.int32))
+
+
 def _starts(*keys: np.ndarray) -> np.ndarray:
     """Where a new combination of the (sorted) keys begins."""
     new = np.ones(len(keys[0]), bool)
@@ -192,21 +198,24 @@ def _deal(hist: np.ndarray, salt: np.ndarray, shape: Shape) -> np.ndarray:
 def requests(block: int, entries: Entries) -> dict[str, list]:
     """One row per partition that the block asks."""
     begins = _starts(entries.part)
-    out: dict[str, list] = {k: [] for k in ("block", "part", "hist", "word", "count", "below")}
+    out: dict[str, list] = {k: [] for k in REQUEST.names}
     for lo, hi in zip(begins, [*begins[1:], len(entries.part)], strict=True):
         out["block"].append(block)
         out["part"].append(int(entries.part[lo]))
         out["hist"].append(pack(np.diff(entries.hist[lo:hi], prepend=0)))
         out["word"].append(pack(entries.word[lo:hi]))
         out["count"].append(pack(entries.count[lo:hi]))
-        out["below"].append(pack(entries.below[lo:hi]))
+        kinds, which = pack_repeated(entries.below[lo:hi])
+        out["below"].append(kinds)
+        out["which"].append(which)
     return out
 
 
 REQUEST = pa.schema([
     ("block", pa.int64()), ("part", pa.int64()), ("hist", pa.binary()), ("word", pa.binary()), ("count", pa.binary()), ("below", pa.binary()),
+    ("which", pa.binary()),
 ])
-REQUEST_SQL = "block long, part long, hist binary, word binary, count binary, below binary"
+REQUEST_SQL = "block long, part long, hist binary, word binary, count binary, below binary, which binary"
 ANSWER = pa.schema([
     ("level", pa.int32()), ("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("ranks", pa.binary()),
     ("times", pa.binary()), ("below", pa.binary()), ("seen", pa.int64()), ("tokens", pa.int64()), ("n", pa.list_(pa.int64())),
@@ -222,7 +231,8 @@ def answer_part(pieces: pa.Table, level: int, ranked: bool) -> pa.Table:
     hists = [np.cumsum(x) for x in take("hist", np.int64)]
     sizes = np.array([len(x) for x in hists])
     hist, word = np.concatenate(hists), np.concatenate(take("word", np.int64))
-    count, below = np.concatenate(take("count", np.int64)), np.concatenate(take("below", np.float64))
+    count = np.concatenate(take("count", np.int64))
+    below = np.concatenate([kinds[at] for kinds, at in zip(take("below", np.float64), take("which", np.int32), strict=True)])
     order = np.lexsort((word, hist))
     begins = _starts(hist[order], word[order])
     total = np.add.reduceat(count[order], begins)
@@ -235,11 +245,13 @@ def answer_part(pieces: pa.Table, level: int, ranked: bool) -> pa.Table:
     times = np.stack([np.add.reduceat((total == r).astype(np.int64), of_hist) for r in range(1, LARGEST_DISCOUNTED + 1)], 1)
     mass = np.add.reduceat(np.where(seen, below[first], 0.0), of_hist)
     out: dict[str, list] = {k: [] for k in ANSWER.names}
+    often = np.empty(len(total), np.int64)
+    often[np.argsort(-total, kind="stable")] = np.arange(len(total))  # frequent ones get small numbers, which pack well
     ends = np.cumsum(sizes)
     for block, lo, hi in zip(pieces["block"].to_pylist(), ends - sizes, ends, strict=True):
         mine = rank[lo:hi]
         hists_of = hist_of[mine[_starts(hist[lo:hi])]]
-        row = (level, block, pieces["part"][0].as_py(), pack(total[mine]), pack(mine) if ranked else None,
+        row = (level, block, pieces["part"][0].as_py(), pack(total[mine]), pack(often[mine]) if ranked else None,
                pack(times[hists_of].ravel()), pack(mass[hists_of]), None, None, None)
         for name, value in zip(ANSWER.names, row, strict=True):
             out[name].append(value)
