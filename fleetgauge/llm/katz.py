@@ -51,7 +51,7 @@ from fleetgauge.session import work_path
 
 ORDER = 2
 LARGEST_DISCOUNTED = 5
-LEAST = 3 << 20  # tokens of a block, n-grams of a partition
+LEAST = 3 << 19  # tokens of a block, n-grams of a partition
 PIECE = 64  # n-grams that a block should send to a partition, at least
 END = b"\n"  # no word has white space
 _STAT = -1  # in place of a word: asks for the history only
