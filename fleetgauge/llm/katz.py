@@ -13,9 +13,9 @@ Texts are cut into words at ASCII white space, A-Z become small, and an end mark
 the first words is filled up with a start mark, which is never predicted.
 
 How it runs. Documents become blocks: packed streams of word numbers, in a table bucketed by block. For each n-gram
-length in turn, a block sends its distinct n-grams, with their training counts and the shorter history's
-probabilities, to partitions by a hash of the history; a history with more than a partition's share of all words
-is dealt over as many partitions as its share asks for. A partition counts its n-grams and answers each block: counts,
+length in turn, a block sends its distinct n-grams, with their training counts and the probability that the shorter
+history gives (for pairs: the word's count, which says the same), to partitions by the number of the history; a history
+with more than a partition's share of all words is dealt over as many partitions as its share asks for. A partition counts its n-grams and answers each block: counts,
 numbers for the next length, and of each history the counts of counts and the summed probabilities. The answers are the
 n-gram tables as each block needs them, partitioned like the blocks, so nothing is broadcast and the streams
 move no more: the bucketed blocks meet their answers where they lie and evaluate each token from the longest n-gram down.
@@ -70,12 +70,6 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(size, n).T.copy().view(kind).ravel()
 
 
-def pack_repeated(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Numbers of which many are equal: the different ones, and which of them stands where."""
-    kinds, which = np.unique(values, return_inverse=True)
-    return pack(kinds), pack(which.astype(np.int32))
-
-
 def _starts(*keys: np.ndarray) -> np.ndarray:
     """Where a new combination of the (sorted) keys begins."""
     new = np.ones(len(keys[0]), bool)
@@ -124,7 +118,7 @@ class Entries(NamedTuple):
     hist: np.ndarray
     word: np.ndarray
     count: np.ndarray
-    below: np.ndarray
+    below: np.ndarray  # what the sum behind the history is made of
     gram: np.ndarray
 
     def sorted(self) -> Entries:
@@ -173,49 +167,56 @@ def longer(words: Grams, last: Grams, firsts: np.ndarray, train: np.ndarray, tok
     count = np.bincount(of_token, weights=train, minlength=len(at)).astype(np.int64)
     below = last.prob[at]
     # A history with a share of all words is dealt over that share of the partitions.
-    salts = 1 + hist_count * shape.parts // max(1, tokens)
-    where = _deal(hist, mix(word.view(np.uint64)) % salts.view(np.uint64), shape)
+    salts = np.minimum(1 + hist_count * shape.parts // max(1, tokens), shape.parts)
+    where = (hist + (mix(word.view(np.uint64)) % salts.view(np.uint64)).view(np.int64)) % shape.parts
     hot, one = np.unique(hist[salts > 1], return_index=True)
     many = salts[salts > 1][one]
     asked = np.repeat(hot, many)
     salt = np.arange(len(asked)) - np.repeat(np.cumsum(many) - many, many)
-    more = np.unique(np.stack([_deal(asked, salt.astype(np.uint64), shape), asked], 1), axis=0)
-    none = np.zeros(len(more), np.int64)
+    none = np.zeros(len(asked), np.int64)
+    # The shorter history's probability; single words go by their counts, which are smaller and say the same.
+    sent = words.count[words.of_token[at]] if last is words else below
     entries = Entries(
-        np.concatenate([where, more[:, 0]]), np.concatenate([hist, more[:, 1]]), np.concatenate([word, none + _STAT]),
-        np.concatenate([count, none]), np.concatenate([below, none.astype(float)]), np.concatenate([np.arange(len(at)), none - 1]),
+        np.concatenate([where, (asked + salt) % shape.parts]), np.concatenate([hist, asked]), np.concatenate([word, none + _STAT]),
+        np.concatenate([count, none]), np.concatenate([sent, none.astype(sent.dtype)]), np.concatenate([np.arange(len(at)), none - 1]),
     )
     return Longer(of_token, entries.sorted(), hist, hist_count, below)
 
 
-def _deal(hist: np.ndarray, salt: np.ndarray, shape: Shape) -> np.ndarray:
-    return (mix(mix(hist.view(np.uint64)) + salt) % np.uint64(shape.parts)).astype(np.int64)
+# --- a partition: counts its n-grams and answers the blocks ---------------------------------------------------------
 
 
-# --- a partition: counts its n-grams and answers the blocks ---------------------------------------------------------
+def _coded(entries: Entries, lo: int, hi: int, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Histories of a piece without what its partition says: steps between their quotients, and salts."""
+    hist = entries.hist[lo:hi]
+    return np.diff(hist // shape.parts, prepend=0), (entries.part[lo:hi] - hist) % shape.parts
+
+
+def _hist(part: int, steps: np.ndarray, salt: np.ndarray, shape: Shape) -> np.ndarray:
+    return np.cumsum(steps) * shape.parts + (part - salt) % shape.parts
 
 
-def requests(block: int, entries: Entries) -> dict[str, list]:
+def requests(block: int, entries: Entries, shape: Shape) -> dict[str, list]:
     """One row per partition that the block asks."""
     begins = _starts(entries.part)
     out: dict[str, list] = {k: [] for k in REQUEST.names}
     for lo, hi in zip(begins, [*begins[1:], len(entries.part)], strict=True):
         out["block"].append(block)
         out["part"].append(int(entries.part[lo]))
-        out["hist"].append(pack(np.diff(entries.hist[lo:hi], prepend=0)))
+        hist, salt = _coded(entries, lo, hi, shape)
+        out["hist"].append(pack(hist))
+        out["salt"].append(pack(salt))
         out["word"].append(pack(entries.word[lo:hi]))
         out["count"].append(pack(entries.count[lo:hi]))
-        kinds, which = pack_repeated(entries.below[lo:hi])
-        out["below"].append(kinds)
-        out["which"].append(which)
+        out["below"].append(pack(entries.below[lo:hi]))
     return out
 
 
 REQUEST = pa.schema([
     ("block", pa.int64()), ("part", pa.int64()), ("hist", pa.binary()), ("word", pa.binary()), ("count", pa.binary()), ("below", pa.binary()),
-    ("which", pa.binary()),
+    ("salt", pa.binary()),
 ])
-REQUEST_SQL = "block long, part long, hist binary, word binary, count binary, below binary, which binary"
+REQUEST_SQL = "block long, part long, hist binary, word binary, count binary, below binary, salt binary"
 ANSWER = pa.schema([
     ("level", pa.int32()), ("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("ranks", pa.binary()),
     ("times", pa.binary()), ("below", pa.binary()), ("seen", pa.int64()), ("tokens", pa.int64()), ("n", pa.list_(pa.int64())),
@@ -225,14 +226,18 @@ ANSWER_SQL = (
 )
 
 
-def answer_part(pieces: pa.Table, level: int, ranked: bool) -> pa.Table:
+def answer_part(pieces: pa.Table, level: int, words: Totals | None, shape: Shape) -> pa.Table:
     """Answers to the pieces of one partition, and a row (block -1) with its counts of counts."""
+    part = pieces["part"][0].as_py()
     take = lambda name, kind: [unpack(x, kind) for x in pieces[name].to_pylist()]
-    hists = [np.cumsum(x) for x in take("hist", np.int64)]
+    hists = [_hist(part, x, y, shape) for x, y in zip(take("hist", np.int64), take("salt", np.int64), strict=True)]
     sizes = np.array([len(x) for x in hists])
     hist, word = np.concatenate(hists), np.concatenate(take("word", np.int64))
     count = np.concatenate(take("count", np.int64))
-    below = np.concatenate([kinds[at] for kinds, at in zip(take("below", np.float64), take("which", np.int32), strict=True)])
+    if level == 2:
+        below = word_probability(np.concatenate(take("below", np.int64)), words)
+    else:
+        below = np.concatenate(take("below", np.float64))
     order = np.lexsort((word, hist))
     begins = _starts(hist[order], word[order])
     total = np.add.reduceat(count[order], begins)
@@ -251,12 +256,12 @@ def answer_part(pieces: pa.Table, level: int, ranked: bool) -> pa.Table:
     for block, lo, hi in zip(pieces["block"].to_pylist(), ends - sizes, ends, strict=True):
         mine = rank[lo:hi]
         hists_of = hist_of[mine[_starts(hist[lo:hi])]]
-        row = (level, block, pieces["part"][0].as_py(), pack(total[mine]), pack(often[mine]) if ranked else None,
+        row = (level, block, part, pack(total[mine]), pack(often[mine]) if level < shape.order else None,
                pack(times[hists_of].ravel()), pack(mass[hists_of]), None, None, None)
         for name, value in zip(ANSWER.names, row, strict=True):
             out[name].append(value)
     n = [int((total == r).sum()) for r in range(1, LARGEST_DISCOUNTED + 2)]
-    row = (level, -1, pieces["part"][0].as_py(), None, None, None, None, int(seen.sum()), int(total.sum()), n)
+    row = (level, -1, part, None, None, None, None, int(seen.sum()), int(total.sum()), n)
     for name, value in zip(ANSWER.names, row, strict=True):
         out[name].append(value)
     return pa.table(out, schema=ANSWER)
@@ -464,7 +469,7 @@ def score(
     totals: list[Totals] = []
     answers: list[DataFrame] = []
     for level in range(1, order + 1):
-        found = _plain(_answered(_asked(blocks, answers, totals, shape), level, level < order), f"grams{level}")
+        found = _plain(_answered(_asked(blocks, answers, totals, shape), level, totals, shape), f"grams{level}")
         n = [F.sum(F.col("n")[k]) for k in range(LARGEST_DISCOUNTED + 1)]
         row = found.where("block = -1").agg(F.sum("seen"), F.sum("tokens"), *n).first()
         totals.append(Totals(row[0] or 0, row[1] or 0, tuple(x or 0 for x in row[2:])))
@@ -478,7 +483,7 @@ def _asked(blocks: DataFrame, answers: list[DataFrame], totals: list[Totals], sh
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield _batch(requests(block, word_entries(unpack(hashes, np.uint64), unpack(counts, np.int64), shape)))
+                    yield _batch(requests(block, word_entries(unpack(hashes, np.uint64), unpack(counts, np.int64), shape), shape))
 
         return blocks.select("block", "hashes", "counts").mapInArrow(words, REQUEST_SQL)
 
@@ -486,7 +491,7 @@ def _asked(blocks: DataFrame, answers: list[DataFrame], totals: list[Totals], sh
 
     def grams(row: pa.Table, given: pa.Table) -> pa.Table:
         _, more = Block.of(row).levels(given, known, shape)
-        return pa.Table.from_batches([_batch(requests(row["block"][0].as_py(), more.entries))])
+        return pa.Table.from_batches([_batch(requests(row["block"][0].as_py(), more.entries, shape))])
 
     return _meet(blocks.drop("ids"), answers).applyInArrow(grams, REQUEST_SQL)
 
@@ -498,8 +503,9 @@ def _meet(blocks: DataFrame, answers: list[DataFrame]):
     return blocks.groupBy("block").cogroup(given.drop("seen", "tokens", "n").groupBy("block"))
 
 
-def _answered(asked: DataFrame, level: int, ranked: bool) -> DataFrame:
-    return asked.groupBy("part").applyInArrow(lambda pieces: answer_part(pieces, level, ranked), ANSWER_SQL)
+def _answered(asked: DataFrame, level: int, totals: list[Totals], shape: Shape) -> DataFrame:
+    words = totals[0] if totals else None
+    return asked.groupBy("part").applyInArrow(lambda pieces: answer_part(pieces, level, words, shape), ANSWER_SQL)
 
 
 def _scored(blocks: DataFrame, answers: list[DataFrame], totals: list[Totals], shape: Shape) -> DataFrame:
