@@ -5,10 +5,14 @@
 2. `band_plan` chooses bands and rows for the recall wanted at the threshold. Members that share a
    band hash are candidates: each points to the smallest member of the bucket, which takes an
    aggregation and a join, so a bucket of any size is never gathered.
-3. The candidates' graph falls into clusters. A cluster is cut into blocks of bounded size by hash,
+3. Candidates are looked at before they join anything: the low bytes of all MinHash values estimate a pair's
+   similarity, and a pair below `LOOSE` is dropped. A member close to its bucket's smallest one (`TIGHT`) is done there,
+   as whatever reaches the threshold with it is at least `LOOSE` to that smallest one; the others of a bucket are compared with
+   each other the same way, in blocks. So texts that share a passage or a licence do not chain into one cluster.
+4. The remaining candidates' graph falls into clusters. A cluster is cut into blocks of bounded size by hash,
    each pair of blocks is one unit of work, and all pairs in it whose sizes allow the similarity are
    checked on their full sets, whether they share a band or not. Units give back links per member and the edges of a spanning forest, never pairs.
-4. The classes are the connected components of those edges.
+5. The classes are the connected components of those edges.
 
 The work on a cluster of texts that are all alike but all different grows with the square of its size, as
 counting links does; it is dealt over units that share no key, and nothing of that size is stored.
@@ -21,7 +25,7 @@ id stands on different texts, each of those rows has its own class and links.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.arrays import Flat, groups, mix, windows
-from fleetgauge.llm.tables import add_columns
-from fleetgauge.operators.clusters import components
+from fleetgauge.llm.graph import components
+from fleetgauge.llm.tables import add_columns, arrow_kinds
 from fleetgauge.session import written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
-MAX_HASHES = 64
+MAX_HASHES = 140
+LOOSE = 0.4  # estimated similarity below which a candidate is none
+TIGHT = 0.8  # estimated similarity from which on a member needs no comparison with the rest of its bucket
 BLOCK_MEMBERS = 512
 BLOCK_SHINGLES = 400_000
 
@@ -85,16 +91,24 @@ def _factors(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-def signatures(shingles: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band hashes of each set, a row per set; sets must not be empty."""
-    if len(offsets) < 2:
-        return np.zeros((0, bands), np.uint64)
-    out = np.zeros((len(offsets) - 1, bands), np.uint64)
+def signatures(shingles: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes of each set, a row per set, and the low bytes of its MinHash values; sets must not be empty."""
+    n = len(offsets) - 1
+    out, low = np.zeros((n, bands), np.uint64), np.zeros((n, bands * rows), np.uint8)
+    if not n:
+        return out, low
+    spread = shingles >> np.uint64(29)
     for k, factor in enumerate(_factors(bands * rows)):
-        least = np.minimum.reduceat((shingles * factor) ^ (shingles >> np.uint64(29)), offsets[:-1])
+        least = np.minimum.reduceat((shingles * factor) ^ spread, offsets[:-1])
         band = k // rows
         out[:, band] = mix(out[:, band] * np.uint64(31) + least + np.uint64(band + 1))
-    return out
+        low[:, k] = mix(least) & np.uint64(255)
+    return out, low
+
+
+def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of sets from the low bytes of their MinHash values; unequal values agree in 1 of 256 bytes."""
+    return ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
 def set_keys(shingles: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -107,48 +121,81 @@ def set_keys(shingles: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 def sketches(df: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """`id, text_hash, key, n_shingles, bands` a row per row; key and bands are null without a word."""
+    """`id, text_hash, key, n_shingles, bands, sketch` a row per row; key, bands and sketch are null without a word."""
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
-        keys, sizes, sigs = [], [], []
+        keys, sizes, sigs, lows = [], [], [], []
         for shingles, offsets in shingle_sets(batch.column("_text").to_pylist(), n):
             count = np.diff(offsets)
             full = np.flatnonzero(count)
             at = np.append(offsets[:-1][full], offsets[-1])
-            key, sig = set_keys(shingles, at), signatures(shingles, at, bands, rows).view(np.int64)
-            some_keys: list = [None] * len(count)
-            some_sigs: list = [None] * len(count)
+            key = set_keys(shingles, at)
+            sig, low = signatures(shingles, at, bands, rows)
+            sig = sig.view(np.int64)
+            made: list[tuple] = [(None, None, None)] * len(count)
             for i, k in enumerate(full.tolist()):
-                some_keys[k], some_sigs[k] = key[i], sig[i].tolist()
-            keys += some_keys
-            sigs += some_sigs
+                made[k] = key[i], sig[i].tolist(), low[i].tobytes()
+            for column, values in zip((keys, sigs, lows), zip(*made, strict=True), strict=True):
+                column += values
             sizes += count.tolist()
-        return {"key": keys, "n_shingles": sizes, "bands": sigs}
+        return {"key": keys, "n_shingles": sizes, "bands": sigs, "sketch": lows}
 
     rows_in = df.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
-    return add_columns(rows_in, work, {"key": "binary", "n_shingles": "int", "bands": "array<long>"}, "_text").drop("_text")
+    return add_columns(rows_in, work, {"key": "binary", "n_shingles": "int", "bands": "array<long>", "sketch": "binary"}, "_text").drop("_text")
 
 
 def _candidates(members: DataFrame) -> DataFrame:
-    """Edges `a, b` from each member of a shared bucket to the smallest member of that bucket."""
+    """Edges `a, b` between members that share a bucket and look alike: enough of them to connect all that do."""
     spread = members.select("key", F.posexplode("bands").alias("band", "value"))
     bucket = spread.groupBy("band", "value").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return (
-        spread.join(bucket, ["band", "value"]).where(F.col("key") != F.col("b"))
-        .select(F.col("key").alias("a"), "b").distinct()
+    shared = written(spread.join(bucket.drop("n"), ["band", "value"]).where(F.col("key") != F.col("b")), "buckets")
+    sketch = members.select("key", "sketch")
+    pairs = shared.select(F.col("key").alias("a"), "b").distinct()
+    met = pairs.join(sketch.withColumnsRenamed({"key": "a", "sketch": "_a"}), "a").join(
+        written(sketch.join(bucket.select(F.col("b").alias("key")).distinct(), "key", "left_semi"), "heads")
+        .withColumnsRenamed({"key": "b", "sketch": "_b"}),
+        "b",
     )
 
+    def look(batch: pa.RecordBatch) -> dict[str, object]:
+        flat = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_a", "_b")]
+        return {"alike": estimated(*flat)}
+
+    seen = written(add_columns(met.select("a", "b", "_a", "_b"), look, {"alike": "double"}, "_a", "_b").drop("_a", "_b"), "stars")
+    edges = seen.where(F.col("alike") >= LOOSE).select("a", "b")
+    # Members that are not close to their bucket's smallest one, with each other.
+    loose = seen.where(F.col("alike") < TIGHT).select(F.col("a").alias("key"), "b")
+    rest = shared.join(loose, ["key", "b"]).select(F.concat_ws(":", "band", "value").alias("cluster"), "key")
+    crowded = rest.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = crowded.select("cluster", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("n_blocks"))
+    placed = _in_blocks(rest.join(blocks, "cluster").join(sketch, "key"))
+
+    def compare(rows: list[tuple], same: bool) -> Iterator[tuple]:
+        side = np.array([r[0] for r in rows])
+        flat = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        left = np.flatnonzero(side == 0)
+        right = left if same else np.flatnonzero(side == 1)
+        near = [(i, right[estimated(flat[i], flat[right]) >= LOOSE]) for i in left]
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.full(len(j), i) for i, j in near], [j for _, j in near]))
+        root = _roots(len(rows), i, j)
+        for k in np.flatnonzero(root != np.arange(len(rows))).tolist():
+            yield rows[k][1], rows[root[k]][1]
+
+    more = _units(placed.select("cluster", "block", "n_blocks", "key", "sketch"), compare, {"a": "binary", "b": "binary"})
+    return edges.unionByName(more).distinct()
+
+
+def _in_blocks(df: DataFrame) -> DataFrame:
+    return df.withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
+
 
 def _blocks(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Candidates with their cluster, block and number of blocks of the cluster."""
-    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    clusters = components(ends, edges).select(F.col("id").alias("key"), F.col("root").alias("cluster"))
-    placed = written(members.drop("bands").join(clusters, "key"), "clusters")
+    clusters = components(edges).select(F.col("id").alias("key"), F.col("root").alias("cluster"))
+    placed = written(members.drop("bands", "sketch").join(clusters, "key"), "clusters")
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles").cast("long")).alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    return placed.join(sizes.select("cluster", blocks.alias("n_blocks")), "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")
-    )
+    return _in_blocks(placed.join(sizes.select("cluster", blocks.alias("n_blocks")), "cluster"))
 
 
 def _with_sets(df: DataFrame, doc_id: str, text: str, placed: DataFrame, n: int) -> DataFrame:
@@ -282,25 +329,28 @@ def compare_unit(rows: list[tuple], same: bool, threshold: float) -> Iterator[tu
         yield keys[k], keys[root[k]], int(links[k])
 
 
-def _units(sets: DataFrame, threshold: float) -> DataFrame:
-    """`key, root, links` of every unit: a pair of blocks of one cluster."""
+def _units(placed: DataFrame, compare: Callable[[list[tuple], bool], Iterator[tuple]], kinds: dict[str, str]) -> DataFrame:
+    """What `compare` gives of every unit, a pair of blocks of one cluster.
+
+    `placed`: `cluster, block, n_blocks` and more, which `compare` gets as rows led by the side (0 or 1), with
+    whether both sides are one block.
+    """
+    more = [c for c in placed.columns if c not in ("cluster", "block", "n_blocks")]
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("o")
-    spread = sets.select("cluster", "block", "key", "copies", "shingles", other).select(
+    spread = placed.select("cluster", "block", *more, other).select(
         "cluster", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"),
-        (F.col("block") > F.col("o")).cast("int").alias("side"), "key", "copies", "shingles",
+        (F.col("block") > F.col("o")).cast("int").alias("side"), *more,
     )
     unit = ["cluster", "p", "q"]
+    types = arrow_kinds(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
 
         def flush() -> pa.RecordBatch:
-            out = list(compare_unit(held, at[1] == at[2], threshold))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))],
-                names=["key", "root", "links"],
-            )
+            out = list(compare(held, at[1] == at[2]))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types.values())], names=list(types))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -313,7 +363,7 @@ def _units(sets: DataFrame, threshold: float) -> DataFrame:
             yield flush()
 
     laid = spread.repartition(*unit).sortWithinPartitions(*unit)
-    return laid.mapInArrow(run, "key binary, root binary, links long")
+    return laid.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
 def similarity_classes(
@@ -331,16 +381,19 @@ def similarity_classes(
     members = written(
         all_rows.where("key is not null").groupBy("key").agg(
             F.min(order).alias("o"), F.count("*").alias("copies"),
-            F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
-        ).select("key", "o.id", "o.text_hash", "o.none", "copies", "n_shingles", "bands"),
+            F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        ).select("key", "o.id", "o.text_hash", "o.none", "copies", "n_shingles", "bands", "sketch"),
         "members",
     )
     edges = written(_candidates(members), "candidates")
     placed = written(_blocks(members, edges), "placed")
-    found = written(_units(_with_sets(df, doc_id, text, placed, words), threshold), "found")
+    sets = _with_sets(df, doc_id, text, placed, words).select("cluster", "block", "n_blocks", "key", "copies", "shingles")
+    found = written(
+        _units(sets, lambda unit, same: compare_unit(unit, same, threshold), {"key": "binary", "root": "binary", "links": "long"}), "found"
+    )
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    forest = found.where(F.col("key") != F.col("root")).select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
-    roots = components(links.select(F.col("key").alias("id")), forest).select(F.col("id").alias("key"), "root")
+    forest = found.select(F.col("key").alias("a"), F.col("root").alias("b"))
+    roots = components(forest).select(F.col("id").alias("key"), "root")
     linked = written(placed.select("key", "id", "text_hash", "none").join(roots, "key").join(links, "key"), "linked")
     heads = linked.groupBy("root").agg(F.min(F.struct("none", "id", "text_hash")).alias("head"))
     of_key = linked.join(heads, "root").select("key", "head", "links")
@@ -365,19 +418,17 @@ def digest(df: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, with its own columns: that with the smallest id."""
-    classes = similarity_classes(df, doc_id, text).where("first")
+    """One row of each class, with its own columns, whatever their names: that with the smallest id."""
     chosen = written(
-        classes.groupBy("id", "text_hash").agg(F.count("*").alias("_rows")).withColumnsRenamed({"id": "_id", "text_hash": "_hash"}),
-        "chosen",
+        similarity_classes(df, doc_id, text).where("first").groupBy("id", "text_hash").agg(F.count("*").alias("n")), "chosen"
+    )
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{doc_id}`").alias("own_id"), F.xxhash64(f"`{text}`").alias("own_hash")
     )
-    own = [df[f"`{c}`"] for c in df.columns]
-    match = df[f"`{doc_id}`"].eqNullSafe(chosen["_id"]) & (F.xxhash64(df[f"`{text}`"]) == chosen["_hash"])
-    once = df.join(chosen.where("_rows = 1"), match).select(*own)
-    if chosen.where("_rows > 1").isEmpty():
+    met = rows.join(chosen, rows["own_id"].eqNullSafe(chosen["id"]) & (rows["own_hash"] == chosen["text_hash"]))
+    once = met.where("n = 1").select("row.*")
+    if chosen.where("n > 1").isEmpty():
         return once
     # Rows that repeat id and text: one of them.
-    again = df.join(chosen.where("_rows > 1"), match).select(
-        F.col("_id"), F.col("_hash"), F.struct(*own).alias("_row")
-    ).groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
-    return once.unionByName(again.select("_row.*"))
+    again = met.where("n > 1").groupBy("id", "text_hash").agg(F.first("row").alias("row"))
+    return once.unionByName(again.select("row.*"))

@@ -137,28 +137,27 @@ def digest(df: DataFrame) -> DataFrame:
 
 
 def take(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of the mix with their own columns, a document as often as it is taken."""
-    taken = mix(df, doc_id, source, text).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        (F.col("taken") / F.col("size")).cast("int").alias("_times"),
-    )
+    """The rows of the mix with their own columns, whatever their names, a document as often as it is taken."""
+    taken = mix(df, doc_id, source, text).where("taken > 0")
     # Rows that repeat one (id, source, size) are told apart by their number among equals.
-    same = taken.groupBy("_id", "_source", "_size").agg(F.sum("_times").alias("_times"), F.count("*").alias("_equal"))
+    same = taken.groupBy("doc_id", "source", "size").agg(
+        F.sum((F.col("taken") / F.col("size")).cast("int")).alias("times"), F.count("*").alias("equal")
+    )
     same = written(same, "taken")
-    own = [df[f"`{c}`"] for c in df.columns]
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{doc_id}`").alias("own_id"),
+        F.col(f"`{source}`").alias("own_source"), word_count(f"`{text}`").alias("own_size"),
+    )
     match = (
-        df[f"`{doc_id}`"].eqNullSafe(same["_id"]) & df[f"`{source}`"].eqNullSafe(same["_source"])
-        & (word_count(text) == same["_size"])
+        rows["own_id"].eqNullSafe(same["doc_id"]) & rows["own_source"].eqNullSafe(same["source"]) & (rows["own_size"] == same["size"])
     )
-    copies = lambda n: F.explode(F.sequence(F.lit(1), n))
-    once = df.join(same.where("_equal = 1"), match).select(*own, copies(F.col("_times")).alias("_n")).drop("_n")
-    if same.where("_equal > 1").isEmpty():
+    met = rows.join(same, match)
+    copies = lambda rows, n: rows.select("row", F.explode(F.sequence(F.lit(1), n)).alias("n")).select("row.*")
+    once = copies(met.where("equal = 1"), F.col("times"))
+    if same.where("equal > 1").isEmpty():
         return once
     # Equal rows share what they take: each gets the whole part of it, the first ones one more.
-    key = ["_id", "_source", "_size"]
-    row = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64(*own)))
-    again = df.join(same.where("_equal > 1"), match).select(*own, "_times", "_equal", row.alias("_row"))
-    each = F.floor(F.col("_times") / F.col("_equal")) + F.when(F.col("_row") <= F.col("_times") % F.col("_equal"), 1).otherwise(0)
-    return once.unionByName(
-        again.withColumn("_each", each.cast("int")).where("_each > 0").select(*df.columns, copies(F.col("_each")).alias("_n")).drop("_n")
-    )
+    nth = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("row")))
+    again = met.where("equal > 1").withColumn("nth", nth)
+    each = F.floor(F.col("times") / F.col("equal")) + F.when(F.col("nth") <= F.col("times") % F.col("equal"), 1).otherwise(0)
+    return once.unionByName(copies(again.withColumn("each", each.cast("int")).where("each > 0"), F.col("each")))

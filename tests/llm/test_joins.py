@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import jaccard_join, mixing, topk_search, warc
+from fleetgauge.llm import graph, jaccard_join, mixing, topk_search, warc
 
 
 def _docs(spark, rows):
@@ -93,6 +93,65 @@ def test_one_row_of_each_class_stays(spark):
     assert jaccard_join.keep_one(docs.limit(0)).count() == 0
 
 
+def _sizes_of_clusters(members, edges):
+    return sorted((r["count"] for r in graph.components(edges).groupBy("root").count().collect()), reverse=True)
+
+
+def test_texts_that_share_a_passage_do_not_chain(spark):
+    """4000 texts, a third of whose words are one passage (similarity 0.2), and some near copies among them."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    texts = [[word() for _ in range(60)] + passage + [word() for _ in range(60)] for _ in range(4000)]
+    for k in range(40):  # near copies of every hundredth, in groups of three
+        for at in (1, 2):
+            texts.append([*texts[100 * k][: 170 + at], "x"])
+    bands, rows = jaccard_join.band_plan(0.8, 0.999, jaccard_join.MAX_HASHES)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    all_rows = jaccard_join.sketches(df, "doc_id", "text", 5, bands, rows)
+    members = all_rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).checkpoint()
+    edges = jaccard_join._candidates(members)
+    assert _sizes_of_clusters(members, edges)[0] <= 10  # weak candidates chained hundreds
+    got = jaccard_join.digest(df).where("n_links > 0")
+    assert sorted(x.n_links for x in got.collect()) == [2] * 120
+
+
+def test_members_far_from_the_smallest_one_still_meet(spark):
+    """Texts along a line, each like the next and less and less like the first: links as counted by brute force."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for line in range(3):
+        words = [word() for _ in range(80)]
+        for _ in range(30):
+            rows.append((len(rows), " ".join(words), "x", "y", "s"))
+            words[r.randrange(80)] = word()
+    got = sorted((x.doc_id, x.class_id, x.n_links) for x in jaccard_join.digest(_docs(spark, rows)).collect())
+    assert got == _brute(rows)
+
+
+def test_components_of_any_graph(spark):
+    r = random.Random(3)
+    for n, m in ((1, 0), (30, 20), (60, 60), (40, 300)):
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(k, k) for k in range(0, n, 7)] + [(k, k + 1) for k in range(n // 3)]
+        root = list(range(n + 1))
+        for _ in pairs:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        got = {x.id: x.root for x in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert got == {k: root[k] for pair in pairs for k in pair}
+
+
+def test_rows_pass_with_columns_of_any_name(spark):
+    names = ["_id", "_hash", "_row", "_rows", "_n", "_source", "_size", "_times", "_equal", "id", "n", "row", "key", "text_hash", "own_id"]
+    rows = [(k % 5, f"some words of text {k % 3} that are long enough to stand", "s", *([k] * len(names))) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == 3
+    taken = mixing.take(df)
+    assert taken.columns == df.columns and {tuple(x) for x in taken.collect()} <= {tuple(x) for x in df.collect()}
+
+
 def test_bands_reach_the_recall_wanted():
     for threshold, recall in ((0.8, 0.999), (0.9, 0.99), (0.5, 0.9)):
         bands, rows = jaccard_join.band_plan(threshold, recall, 64)
@@ -107,7 +166,7 @@ def test_banding_finds_pairs_at_the_threshold():
         x = r.integers(0, 2**63, 180, dtype=np.uint64) * np.uint64(2)
         a, b = x[:162], x[18:]  # 144 of 180 shared
         flat, at = np.concatenate([a, b]), np.array([0, 162, 324])
-        sig = jaccard_join.signatures(flat, at, bands, rows)
+        sig, _ = jaccard_join.signatures(flat, at, bands, rows)
         hits += (sig[0] == sig[1]).any()
     assert hits >= 396
 
