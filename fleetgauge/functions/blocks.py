@@ -9,9 +9,11 @@ it. The unit of work is (keys, block), so its size has a fixed bound however lon
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 4096
 
@@ -46,6 +48,24 @@ def is_own(pos: str, block: int = BLOCK) -> Column:
     return F.floor(F.col(pos) / block) == F.col("_blk")
 
 
+def sliding_sums(x: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the `width` values up to and with each one, zeros ahead of the first; two additions a value.
+
+    The axis is cut into stretches of that width. A frame is the end of one stretch and the beginning of the next, so it
+    is a sum from the back and one from the front. Only values of the frame enter: a NaN is gone after `width` steps.
+    """
+    lead = width - 1
+    room = -(-(lead + len(x)) // width) * width
+    cut = np.zeros(room)
+    cut[lead : lead + len(x)] = x
+    cut = cut.reshape(-1, width)
+    with np.errstate(invalid="ignore", over="ignore"):
+        front = np.cumsum(cut, axis=1).ravel()[lead : lead + len(x)]
+        back = np.cumsum(cut[:, ::-1], axis=1)[:, ::-1].ravel()[: len(x)]
+        apart = np.arange(len(x)) % width != 0  # else the frame is one stretch
+        return front + np.where(apart, back, 0.0)
+
+
 def trailing_sums(
     df: DataFrame,
     keys: list[str],
@@ -57,21 +77,55 @@ def trailing_sums(
 ) -> DataFrame:
     """For each row sums and counts over the steps (pos - w, pos]: `<col>_s<w>`, `<col>_n<w>`, `_rows<w>`.
 
-    Each frame is summed by itself, in step order: equal rows give equal sums, and a NaN or an infinite
-    value is gone after w steps. Frames go by step, not by row, so missing steps make a frame
-    smaller whatever the block. `first` maps a column to a width: `<col>_first` is its value at
-    the first row of that frame.
+    Constant work a row, whatever the widths. A step has one row or none, and frames go by step, so missing
+    steps make a frame smaller whatever the block. Sums are taken of the distances from the smallest value of
+    the block, so a constant series has equal sums. `first` maps a column to a width: `<col>_first` is its
+    value at the first step of that frame, null where that step is missing.
     """
-    back = max([*widths, *(first or {}).values()]) - 1
-    order = W.partitionBy(*keys, "_blk").orderBy(pos)
+    widths = list(dict.fromkeys(widths))
+    first = first or {}
+    back = max([*widths, *first.values()]) - 1
     kept = df.columns
-    wanted = []
-    for w in dict.fromkeys(widths):
-        frame = order.rangeBetween(-(w - 1), 0)
-        wanted.append(F.count("*").over(frame).alias(f"_rows{w}"))
+    made = [(f"_rows{w}", T.LongType()) for w in widths]
+    made += [x for w in widths for c in columns for x in ((f"{c}_s{w}", T.DoubleType()), (f"{c}_n{w}", T.LongType()))]
+    made += [(f"{c}_first", df.schema[c].dataType) for c in first]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in made)])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(pos)
+        at = rows[pos].to_numpy()
+        own = at // block == rows["_blk"][0].as_py()
+        own_rows = rows.filter(pa.array(own)).select(kept)
+        low = at[0]
+        place = at - low  # of each row on an axis without gaps
+        size = int(place[-1]) + 1
+        mine = place[own]
+        out = {c: own_rows[c] for c in kept}
+
+        def along(values: np.ndarray) -> np.ndarray:
+            axis = np.zeros(size)
+            axis[place] = values
+            return axis
+
+        there = along(np.ones(len(at)))
+        for w in widths:
+            out[f"_rows{w}"] = sliding_sums(there, w)[mine].astype(np.int64)
         for c in columns:
-            wanted.append(F.coalesce(F.sum(c).over(frame), F.lit(0.0)).alias(f"{c}_s{w}"))
-            wanted.append(F.count(c).over(frame).alias(f"{c}_n{w}"))
-    for c, w in (first or {}).items():
-        wanted.append(F.first(c).over(order.rangeBetween(-(w - 1), 0)).alias(f"{c}_first"))
-    return with_halo(df, pos, back, block).select(*kept, "_blk", *wanted).where(is_own(pos, block)).drop("_blk")
+            known = pc.is_valid(rows[c]).to_numpy()
+            x = pc.fill_null(rows[c].cast(pa.float64()), 0.0).to_numpy()
+            finite = x[known & np.isfinite(x)]
+            least = finite.min() if len(finite) else 0.0
+            apart, count = along(np.where(known, x - least, 0.0)), along(known)
+            for w in widths:
+                n = sliding_sums(count, w)[mine]
+                out[f"{c}_s{w}"] = sliding_sums(apart, w)[mine] + n * least
+                out[f"{c}_n{w}"] = n.astype(np.int64)
+        for c, w in first.items():
+            row_at = np.full(size, -1)
+            row_at[place] = np.arange(len(at))
+            begin = mine - (w - 1)
+            found = np.where(begin >= 0, row_at[np.maximum(begin, 0)], -1)
+            out[f"{c}_first"] = rows[c].take(pa.array(found, mask=found < 0))
+        return pa.table([out[f.name] for f in schema.fields], names=schema.names)
+
+    return with_halo(df, pos, back, block).groupBy(*keys, "_blk").applyInArrow(run, schema)
