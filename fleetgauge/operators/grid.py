@@ -62,8 +62,9 @@ def time_grid(
     )
     step = step_of(F.col("ts"), start, seconds)
     values = readings.select("node", F.floor(step / span).cast("int").alias("_b"), step.alias("i"), "ts", *channels)
-    values = values.repartition("node", "_b").groupBy("node", "_b", "i").agg(F.max(F.struct("ts", *channels)).alias("_v"))
-    values = values.select("node", "_b", "i", *[F.col(f"_v.{c}").alias(c) for c in channels])
+    # Readings of one step meet before anything moves, so many readings in few steps are no heavy key.
+    values = values.groupBy("node", "_b", "i").agg(F.max(F.struct("ts", *channels)).alias("_v"))
+    values = values.select("node", "_b", "i", *[F.col(f"_v.{c}").alias(c) for c in channels]).repartition("node", "_b")
     out = axis.join(values, ["node", "_b", "i"], "left")
     ts = F.timestamp_seconds(F.lit(first) + F.col("i").cast("long") * seconds)
     filled = [F.col(c) if fill is None else F.coalesce(c, F.lit(fill)).alias(c) for c in channels]

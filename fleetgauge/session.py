@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,8 +71,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch = threading.local()
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Work tables written inside are removed at the end: for loops that go on for ever."""
+    outer, _scratch.paths = getattr(_scratch, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scratch.paths = _scratch.paths, outer
+        for path in paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

@@ -159,3 +159,11 @@ def test_no_status_while_the_history_is_short(spark):
     history = _series(spark, range(5)).drop("i")
     assert live.status_scorer(CH, 3600, window=4, windows=10)(history).count() == 0
     assert live.fleet_scorer(CH, 3600, window=4, windows=10)(history.limit(0)).count() == 0
+
+
+def test_readings_of_one_step_meet_before_they_move(spark):
+    df = spark.createDataFrame([("a", START, 1.0)] * 5, "node string, ts timestamp, p double")
+    plan = time_grid(df, ["p"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_max") == 1
+    below = plan[plan.index("partial_max") :]
+    assert plan.index("Exchange hashpartitioning(node") < plan.index("partial_max") and "REPARTITION_BY_COL" not in below
