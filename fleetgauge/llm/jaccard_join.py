@@ -425,7 +425,8 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{doc_id}`").alias("own_id"), F.xxhash64(f"`{text}`").alias("own_hash")
     )
-    met = rows.join(chosen, rows["own_id"].eqNullSafe(chosen["id"]) & (rows["own_hash"] == chosen["text_hash"]))
+    # The ids grow with the rows, so they are not sent to every task, however few they are.
+    met = rows.join(chosen.hint("merge"), rows["own_id"].eqNullSafe(chosen["id"]) & (rows["own_hash"] == chosen["text_hash"]))
     once = met.where("n = 1").select("row.*")
     if chosen.where("n > 1").isEmpty():
         return once

@@ -151,7 +151,7 @@ def take(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: st
     match = (
         rows["own_id"].eqNullSafe(same["doc_id"]) & rows["own_source"].eqNullSafe(same["source"]) & (rows["own_size"] == same["size"])
     )
-    met = rows.join(same, match)
+    met = rows.join(same.hint("merge"), match)  # grows with the rows: not sent to every task, however small it is
     copies = lambda rows, n: rows.select("row", F.explode(F.sequence(F.lit(1), n)).alias("n")).select("row.*")
     once = copies(met.where("equal = 1"), F.col("times"))
     if same.where("equal > 1").isEmpty():
