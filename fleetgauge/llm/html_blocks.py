@@ -122,7 +122,8 @@ def read_blocks(html: str | None) -> list[PageBlock]:
                 _close(stack, CLOSES[tag])
             links = sum(t == "a" for t, _ in stack)
         if tag in SKIPPED:
-            if not attributes.rstrip().endswith("/"):
+            # A slash closes such an element only inside svg and math; elsewhere it means nothing.
+            if not (attributes.rstrip().endswith("/") and any(t in FOREIGN for t, _ in stack)):
                 at = _end_of(html, tag, at)
             continue
         if tag in VOID or attributes.rstrip().endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack)):

@@ -184,3 +184,10 @@ def test_gradient_of_the_labeller():
         down = loss()
         model.w[name][at] = keep
         assert grad[name][at] == pytest.approx((up - down) / 2e-2, rel=0.05, abs=1e-5), name
+
+
+def test_a_slash_does_not_close_a_script():
+    from fleetgauge.llm.html_blocks import read_blocks
+
+    html = "<p>one</p><script src='a.js'/>var x = 1;</script><style />p {}</style><p>two</p><svg><style/><text>in</text></svg>"
+    assert [b.text for b in read_blocks(html)] == ["one", "two", "in"]
