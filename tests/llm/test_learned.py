@@ -1,6 +1,8 @@
 """Language identification, co-training and page extraction: held-out accuracy and edge cases."""
 
 import itertools
+import random
+import time
 
 import duckdb
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from fleetgauge.llm import cotraining, html_extract, language_id
 from fleetgauge.llm.html_blocks import read_blocks
 from fleetgauge.llm.html_templates import PageMaker
+from tests.llm import plain_blocks
 
 SF = "/root/testdata/sf0.01"
 
@@ -187,7 +190,47 @@ def test_gradient_of_the_labeller():
 
 
 def test_a_slash_does_not_close_a_script():
-    from fleetgauge.llm.html_blocks import read_blocks
-
     html = "<p>one</p><script src='a.js'/>var x = 1;</script><style />p {}</style><p>two</p><svg><style/><text>in</text></svg>"
     assert [b.text for b in read_blocks(html)] == ["one", "two", "in"]
+
+
+def test_blocks_equal_a_plain_reader():
+    draw = random.Random(1)
+    names = "div p li ul td tr table b i a span svg math h1 script style br img option select body head dt dd dl template label".split()
+    held = ["", " class=x", " class='menu bar'", " hidden", "/", " /", ' x="a>b"', " y='", ' z="']
+    pieces = ["text ", "&amp;", "&#65;", "<", ">", '"', "'", "</", "<!", "<!--", "-->", "<![CDATA[", "]]>", "<?x>", "\n", "/>", "<a"]
+    for _ in range(4000):
+        parts = []
+        for _ in range(draw.randrange(1, 30)):
+            kind, close = draw.random(), draw.choice([">"] * 9 + [""])
+            if kind < 0.7:
+                parts.append(f"<{draw.choice(names)}{draw.choice(held)}{close}" if kind < 0.4 else f"</{draw.choice(names)}{close}")
+            else:
+                parts.append(draw.choice(pieces) if kind < 0.85 else draw.choice(["one two ", "x"]))
+        html = "".join(parts)
+        assert read_blocks(html) == plain_blocks.read_blocks(html), html
+
+
+def test_pages_of_a_million_characters_take_linear_time():
+    for unit in ("<div>", "<div>x", '<a href="', "<a '\"", "</b>", "<b><div></b>", "<a", '<a "" ', "</script ", "<script>", "&", "<!--", "<p>x", "<b>", "<", "<!"):
+        for last in ("", "'>"):
+            begin = time.process_time()
+            read_blocks(unit * (1_000_000 // len(unit)) + last)
+            assert time.process_time() - begin < 8, unit  # one or two seconds; quadratic work would be minutes
+    begin = time.process_time()
+    read_blocks("<b>" * 150_000 + "<div>x</div>" * 50_000)
+    assert time.process_time() - begin < 8
+
+
+def test_numbers_too_long_for_a_character():
+    assert [b.text for b in read_blocks("a &#" + "9" * 5000 + "; b &#" + "0" * 5000 + "65;")] == ["a \ufffd b A"]
+
+
+def test_empty_tables_and_columns_of_any_name(spark, languages, labeller):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    got = html_extract.extract(pages.limit(0), labeller[0])
+    assert got.count() == 0 and html_extract.extract(pages, labeller[0]).columns == got.columns
+    assert html_extract.digest(pages.limit(0)).count() == 0
+    docs = spark.createDataFrame([(1, "a b", "x", 0.5, "y")], "doc_id long, text string, lang string, score double, spans string")
+    assert language_id.identify(docs.limit(0), languages).count() == 0 and language_id.identify(docs, languages).count() == 1
+    assert language_id.digest(docs.limit(0)).count() == 0
