@@ -27,6 +27,18 @@ def _(spark, sf):
     return N.within(series(spark, sf), 0.62, "dtw")
 
 
+@query("dtw_pairs_banded")
+def _(spark, sf):
+    return N.within(series(spark, sf), 0.8, "dtw", band=6)
+
+
+@query("dbscan_warped")
+def _(spark, sf):
+    """Density clusters on warping distances divided by the length of their row of the table."""
+    s = series(spark, sf)
+    return C.dbscan(s, N.row_scaled_pairs(s, 0.87 / s.count() ** 0.5, "dtw"), 15)
+
+
 @query("row_norms", f"WITH {_V}, {_D} SELECT a AS id, {r('sqrt(sum(d * d))')} AS norm FROM dist GROUP BY a")
 def _(spark, sf):
     return N.row_norms(series(spark, sf))
