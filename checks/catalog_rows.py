@@ -17,6 +17,7 @@ from fleetgauge.operators import regions as R
 from fleetgauge.operators import scale as SC
 from fleetgauge.operators import stats as ST
 from fleetgauge.operators import windows as WN
+from fleetgauge.operators.intervals import overlapping
 from fleetgauge.operators.reconstruct import apply_profile, fit_profile
 from fleetgauge.plans.realtime import profile_errors
 from fleetgauge.schema import CHANNELS
@@ -179,6 +180,38 @@ def _(spark, sf):
     return B.remove_periods(telemetry(spark, sf), GAPS).select("node", "ts", "power")
 
 
+_PERIODS = """WITH periods AS (SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS node, date_trunc('second', ts) AS a,
+        date_trunc('second', ts) + to_hours(CAST(props->>'$.k' AS INTEGER)) AS b FROM events WHERE event_type = 'error'), """
+
+
+def _periods(spark, sf):
+    """Error events of a machine, as many hours as `k` says."""
+    start = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    hours = F.get_json_object("props", "$.k").cast("int")
+    return events(spark, sf).where(F.col("event_type") == "error").select(
+        F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("node"),
+        start.alias("start_ts"), F.timestamp_add("HOUR", hours, start).alias("end_ts"),
+    )
+
+
+@query("remove_period_table", _PERIODS + TEL[5:] + f"""SELECT node, ts, {r('power')} AS power FROM tel
+    WHERE NOT EXISTS (SELECT 1 FROM periods p WHERE p.node = tel.node AND ts BETWEEN a AND b)""")
+def _(spark, sf):
+    return B.remove_period_table(telemetry(spark, sf), _periods(spark, sf), ["node"]).select("node", "ts", "power")
+
+
+@query("overlapping_periods", _PERIODS + """spans AS (SELECT min(ts) AS lo, max(ts) AS hi, CAST(user_id AS VARCHAR) AS machine FROM events GROUP BY user_id
+      UNION ALL SELECT min(ts) - INTERVAL 10 YEAR, max(ts), 'all' FROM events)
+    SELECT machine, count(*) AS n, min(a) AS first_start FROM spans JOIN periods ON lo <= b AND a <= hi GROUP BY machine""")
+def _(spark, sf):
+    """How many error periods of any machine meet the time a machine was seen, and ten years before."""
+    lo, hi = F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")
+    seen = events(spark, sf).groupBy(F.col("user_id").cast("string").alias("machine")).agg(lo.alias("lo"), hi.alias("hi"))
+    ever = events(spark, sf).agg((lo - F.expr("INTERVAL 10 YEARS")).alias("lo"), hi.alias("hi")).withColumn("machine", F.lit("all"))
+    pairs = overlapping(seen.unionByName(ever), _periods(spark, sf), ("lo", "hi"), ("start_ts", "end_ts"))
+    return pairs.groupBy("machine").agg(F.count("*").alias("n"), F.min("start_ts").alias("first_start"))
+
+
 @query("hosts_blacklist", TEL + f"SELECT node, ts, {r('power')} AS power FROM tel WHERE node NOT IN {_HOSTS}")
 def _(spark, sf):
     return B.hosts_blacklist(telemetry(spark, sf), HOSTS).select("node", "ts", "power")

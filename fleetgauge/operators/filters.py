@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.quantiles import exact_percentiles
+from fleetgauge.operators.intervals import outside
 
 
 def select_channels(df: DataFrame, channels: list[str]) -> DataFrame:
@@ -44,6 +45,14 @@ def remove_periods(df: DataFrame, periods: list[tuple[str, str]]) -> DataFrame:
     return df.where(~_inside(periods)) if periods else df
 
 
+def remove_period_table(df: DataFrame, periods: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """`remove_periods` for periods as rows `start_ts, end_ts` (both ends removed too), of any number and length.
+
+    With `keys` (such as the machine) a period holds only for rows with the same keys.
+    """
+    return outside(df, periods, keys=keys)
+
+
 def hosts_blacklist(df: DataFrame, hosts: list[str]) -> DataFrame:
     return df.where(~F.col("node").isin(hosts)) if hosts else df
 

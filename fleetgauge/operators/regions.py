@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.blocks import BLOCK
+from fleetgauge.operators.intervals import overlapping
 
 
 def regions(flags: DataFrame, keys: list[str], pos: str = "win", flag: str = "flag", block: int = BLOCK) -> DataFrame:
@@ -56,19 +57,8 @@ def truth_in_range(incidents: DataFrame, span: DataFrame) -> DataFrame:
 
 
 def match_regions(found: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Overlapping (region, incident) pairs.
-
-    Both sides are laid on calendar days and joined on the day; a pair is kept on the first day
-    the two share, so it comes out once.
-    """
-    def days(a: str, b: str):
-        return F.explode(F.sequence(F.to_date(a), F.to_date(b)))
-
-    left = found.withColumn("_day", days("start_ts", "end_ts"))
-    right = incidents.withColumn("_day", days("date_start", "date_end"))
-    overlap = (F.col("start_ts") <= F.col("date_end")) & (F.col("date_start") <= F.col("end_ts"))
-    first_shared = F.greatest(F.to_date("start_ts"), F.to_date("date_start")) == F.col("_day")
-    return left.join(right, "_day").where(overlap & first_shared).drop("_day")
+    """Overlapping (region, incident) pairs, whatever their lengths; see `intervals`."""
+    return overlapping(found, incidents, ("start_ts", "end_ts"), ("date_start", "date_end"))
 
 
 def regions_vs_truth(found: DataFrame, incidents: DataFrame) -> DataFrame:
