@@ -116,20 +116,27 @@ def fleet_band(errors: DataFrame) -> DataFrame:
 
 
 def _block_entropy(values: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """Bits of the value distribution in each window of `window` rows starting at `starts`."""
-    codes = np.unique(values, return_inverse=True)[1].reshape(values.shape)
-    size = window * values.shape[1]
-    out = np.empty(len(starts))
-    for at in range(0, len(starts), 1024):
-        part = starts[at : at + 1024]
-        cells = np.sort(codes[part[:, None] + np.arange(window)].reshape(len(part), size), axis=1)
-        new = np.ones(cells.shape, dtype=bool)
-        new[:, 1:] = cells[:, 1:] != cells[:, :-1]
-        runs = np.flatnonzero(new)
-        counts = np.diff(np.append(runs, cells.size))
-        weight = np.bincount(runs // size, counts * np.log2(counts), minlength=len(part))
-        out[at : at + 1024] = np.log2(size) - weight / size
-    return out
+    """Bits of the value distribution in each window of `window` rows starting at `starts`.
+
+    A value enters the windows from `window` - 1 rows ahead of it and leaves after its own row. In order of value and
+    row these entries and exits give its count in every window, each a change of the sum of c*log2(c). One sort
+    serves all windows. The changes are whole numbers of a small unit, so they add up without drift.
+    """
+    rows, width = values.shape
+    size = window * width
+    codes = np.unique(values, return_inverse=True)[1].reshape(-1).astype(np.int64)
+    at = np.repeat(np.arange(rows, dtype=np.int64), width)
+    when = np.concatenate([np.maximum(at - window + 1, 0), at + 1])
+    step = np.repeat(np.array([1, -1], dtype=np.int64), rows * width)
+    order = np.argsort(np.concatenate([codes, codes]) * (rows + 1) + when, kind="stable")  # entries ahead of exits
+    counts = np.arange(1, size + width + 1, dtype=float)
+    unit = 2.0 ** (61 - np.ceil(np.log2(counts[-1] * (np.log2(counts[-1]) + 1))))
+    part = np.concatenate([[0], np.rint(counts * np.log2(counts) * unit).astype(np.int64)])
+    count = np.cumsum(step[order])
+    change = np.zeros(rows + 1, dtype=np.int64)
+    np.add.at(change, when[order], part[count] - part[count - step[order]])
+    weight = np.cumsum(change)[starts] / unit
+    return np.maximum(np.log2(size) - weight / size, 0.0)
 
 
 def window_entropy(
