@@ -468,5 +468,5 @@ def _(spark, sf):
 @query("recon_linear")
 def _(spark, sf):
     s = scaled(spark, sf)
-    model = RC.fit_linear(WN.sliding_windows(s, CHANNELS, 24, 12), CHANNELS, 8)
+    model = RC.fit_linear_series(s, CHANNELS, 24, 12, 8)
     return RC.score_series(s, RC.linear_reconstructor(model), CHANNELS, 24, 1)

@@ -123,6 +123,93 @@ def fit_linear(windows: DataFrame, channels: list[str], latent: int = 32) -> tup
     return mean, axes
 
 
+def cross_sums(x: np.ndarray, starts: np.ndarray, window: int, slide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and sum of outer products of the flattened windows of x (steps, channels) that begin at rows `starts`.
+
+    Two places of a window that lie `lag` steps apart meet the same products in every window, only shifted. So the products
+    of each lag are made once and added up along the steps; a sum over windows is a difference of two of these.
+    """
+    width = x.shape[1]
+    total, gram = np.zeros((width, window)), np.zeros((width, window, width, window))
+    for run in np.split(starts, np.flatnonzero(np.diff(starts) != slide) + 1):
+        if not len(run):
+            continue
+        y = np.nan_to_num(x[run[0] : run[-1] + window])  # what is not a number here lies between windows
+
+        def over_windows(p: np.ndarray, places: int, n: int = len(run)) -> np.ndarray:
+            room = -(-len(p) // slide) * slide + slide
+            laid = np.zeros((room, p.shape[1]))
+            laid[slide : slide + len(p)] = p
+            sums = np.cumsum(laid.reshape(-1, slide, p.shape[1]), axis=0)
+            a = np.arange(places)
+            return sums[a // slide + n, a % slide] - sums[a // slide, a % slide]
+
+        total += over_windows(y, window).T
+        for lag in range(window):
+            p = (y[: len(y) - lag, :, None] * y[lag:, None, :]).reshape(len(y) - lag, -1)
+            met = over_windows(p, window - lag).reshape(-1, width, width)
+            a = np.arange(window - lag)
+            gram[:, a, :, a + lag] += met
+            if lag:
+                gram[:, a + lag, :, a] += met.transpose(0, 2, 1)
+    return total.reshape(-1), gram.reshape(width * window, width * window)
+
+
+def fit_linear_series(
+    df: DataFrame, channels: list[str], window: int = WINDOW, slide: int = SLIDE, latent: int = 32, block: int = BLOCK
+) -> tuple[np.ndarray, np.ndarray]:
+    """`fit_linear` of the windows of a table of steps, none of which is written out.
+
+    A task goes through its blocks one by one and returns one table of sums, whose size depends on the model alone; these add
+    up in two rounds. Windows that lack a step, or a finite value in any channel, are left out.
+    """
+    size = len(channels) * window
+    finite = [F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c) for c in (F.col(c).cast("double") for c in channels)]
+    at = df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in finite]).first()  # sums around the means lose fewer digits
+    centre = np.array(at, dtype=float)
+    plain = df.select("node", F.col("i").cast("long").alias("i"), *[c.alias(f"_x{k}") for k, c in enumerate(finite)])
+    names = [f"_x{k}" for k in range(len(channels))]
+    parts = with_halo(plain, "i", window - 1, block).repartition("node", "_blk").sortWithinPartitions("node", "_blk", "i")
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, gram = 0, np.zeros(size), np.zeros((size, size))
+        held = None
+
+        def add(part: pd.DataFrame) -> None:
+            nonlocal n, total, gram
+            steps, x = part["i"].to_numpy(), part[names].to_numpy(dtype=float) - centre
+            starts = whole_starts(steps, ~np.isnan(x).any(axis=1), steps // block == part["_blk"].iloc[0], window, slide)
+            if len(starts):
+                s, g = cross_sums(x, starts, window, slide)
+                n, total, gram = n + len(starts), total + s, gram + g
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            keys = pdf["node"].fillna("").astype(str).to_numpy(), pdf["_blk"].to_numpy()
+            cuts = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
+            edges = [0, *cuts.tolist()]
+            for a, b in zip(edges, edges[1:], strict=False):
+                add(pdf.iloc[a:b])
+            held = pdf.iloc[edges[-1] :]  # the last block may go on in the next batch
+        if held is not None:
+            add(held)
+        if n:
+            yield pd.DataFrame({"n": [n], "sums": [np.concatenate([total, gram.reshape(-1)])]})
+
+    each = parts.mapInPandas(add_up, "n long, sums array<double>").select("n", array_to_vector("sums").alias("sums"))
+    some = each.groupBy((F.spark_partition_id() % 16).alias("k")).agg(F.sum("n").alias("n"), Summarizer.sum(F.col("sums")).alias("sums"))
+    row = some.groupBy(F.lit(0)).agg(F.sum("n").alias("n"), Summarizer.sum(F.col("sums")).alias("sums")).first()
+    if row is None:
+        raise ValueError("no whole window to fit")
+    sums, n = row["sums"].toArray(), row["n"]
+    mean, gram = sums[:size] / n, sums[size:].reshape(size, size)
+    spread = gram / n - np.outer(mean, mean)
+    axes = np.linalg.eigh((spread + spread.T) / 2)[1][:, ::-1][:, :latent]
+    return mean + np.repeat(centre, window), axes
+
+
 def linear_reconstructor(model: tuple[np.ndarray, np.ndarray]) -> Reconstructor:
     mean, axes = model
 
