@@ -478,6 +478,15 @@ def _(spark, sf):
     )
 
 
+@query("fleet_json", EN + """SELECT '{' || string_agg('"' || node || '":{"r_err":' || CAST(r_err AS VARCHAR) || ',"is_anomaly":' ||
+    is_anomaly || '}', ',' ORDER BY node) || '}' AS status FROM (SELECT node, max_by(CAST(floor(e * 1000) AS INTEGER), win) AS r_err,
+      CASE WHEN max_by(e, win) > 0.2 THEN 'true' ELSE 'false' END AS is_anomaly FROM en GROUP BY node)""")
+def _(spark, sf):
+    """Newest status of all machines in one document."""
+    last = errors(spark, sf).groupBy("node").agg(F.max_by("l1", "win").alias("e"))
+    return S.fleet_json(last.select("node", F.floor(F.col("e") * 1000).cast("int").alias("r_err"), (F.col("e") > 0.2).alias("is_anomaly")))
+
+
 @query("status_json", EN + """SELECT node, '{"r_err":' || CAST(max_by(CAST(floor(e * 1000) AS INTEGER), win) AS VARCHAR) || ',"is_anomaly":' ||
     max_by(CASE WHEN e > 0.2 THEN 'true' ELSE 'false' END, win) || '}' AS status FROM en GROUP BY node""")
 def _(spark, sf):

@@ -1,8 +1,8 @@
-"""Column expressions; every one of them stays inside generated code."""
+"""Column expressions, every one of them inside generated code, and the status of the fleet as one document."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.schema import TS_TEXT
@@ -106,3 +106,17 @@ def flatten_window(columns: list[str]) -> Column:
 def status_json(error: Column | str, flag: Column | str) -> Column:
     """Status of one machine as JSON text."""
     return F.to_json(F.struct(_col(error).alias("r_err"), _col(flag).alias("is_anomaly")))
+
+
+def fleet_json(statuses: DataFrame, most: int = 100_000) -> DataFrame:
+    """One row `status`: JSON text of the whole fleet, machine -> status, in order of machine.
+
+    `statuses` has a row per machine: `node, r_err, is_anomaly`. The document is one value, so more than `most` machines
+    are an error; keep a row per machine (`status_json`) for fleets beyond it.
+    """
+    entry = F.struct("node", F.struct("r_err", "is_anomaly").alias("status"))
+    held = statuses.where(F.col("node").isNotNull()).limit(most + 1)
+    count = F.when(F.count("*") > most, F.raise_error(F.lit(f"more than {most} machines")).cast("long")).otherwise(F.count("*"))
+    ordered = F.array_sort(F.collect_list(entry))
+    text = F.to_json(F.map_from_entries(ordered), {"ignoreNullFields": "false"})
+    return held.agg(text.alias("status"), count.alias("_n")).where(F.col("_n") >= 0).select("status")

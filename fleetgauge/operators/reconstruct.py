@@ -200,7 +200,7 @@ def fit_linear_series(
 
     each = parts.mapInPandas(add_up, "n long, sums array<double>").select("n", array_to_vector("sums").alias("sums"))
     some = each.groupBy((F.spark_partition_id() % 16).alias("k")).agg(F.sum("n").alias("n"), Summarizer.sum(F.col("sums")).alias("sums"))
-    row = some.groupBy(F.lit(0)).agg(F.sum("n").alias("n"), Summarizer.sum(F.col("sums")).alias("sums")).first()
+    row = some.groupBy(F.lit("all")).agg(F.sum("n").alias("n"), Summarizer.sum(F.col("sums")).alias("sums")).first()
     if row is None:
         raise ValueError("no whole window to fit")
     sums, n = row["sums"].toArray(), row["n"]

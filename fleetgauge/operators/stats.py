@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.blocks import BLOCK, all_known, whole_starts, with_halo
-from fleetgauge.functions.quantiles import exact_percentiles
+from fleetgauge.functions.quantiles import percentiles
 from fleetgauge.functions.scalars import ratio, threshold_ge, threshold_gt
 from fleetgauge.operators.errors import err_fleet, err_node, err_node_channel
 from fleetgauge.schema import SLIDE, WINDOW
@@ -18,8 +18,9 @@ def fleet_mean(errors: DataFrame) -> DataFrame:
     return errors.groupBy("ts").agg(F.avg("e").alias("mean_e"))
 
 
-def fleet_median(errors: DataFrame) -> DataFrame:
-    return exact_percentiles(errors, ["ts"], "e", {"median_e": 0.5})
+def fleet_median(errors: DataFrame, rank_error: float | None = None) -> DataFrame:
+    """Exact, or off by at most `rank_error` of the machines in one pass (see `sketched_percentiles`)."""
+    return percentiles(errors, ["ts"], "e", {"median_e": 0.5}, rank_error)
 
 
 def working(e: Column | str = "e") -> Column:
@@ -43,8 +44,9 @@ def join_entropy(errors: DataFrame, entropy: DataFrame) -> DataFrame:
     return errors.join(entropy, ["node", "win"])
 
 
-def node_percentile(errors: DataFrame, percents: list[float]) -> DataFrame:
-    return exact_percentiles(errors, ["node"], "e", {f"p{p:g}": p / 100 for p in percents})
+def node_percentile(errors: DataFrame, percents: list[float], rank_error: float | None = None) -> DataFrame:
+    """Exact, or off by at most `rank_error` of a machine's windows in one pass (see `sketched_percentiles`)."""
+    return percentiles(errors, ["node"], "e", {f"p{p:g}": p / 100 for p in percents}, rank_error)
 
 
 def node_mean_std(errors: DataFrame) -> DataFrame:
