@@ -2,29 +2,34 @@
 
 Content view: hashed words and the make-up of the text (cases, digits, symbols, repeats, word lengths).
 Metadata view: source, language, length and the layout of lines. Each view has a logistic classifier. In
-every round each classifier labels the pool, and what it is sure of becomes training data of the
-other one. A part of the labels is kept aside: on it each view is calibrated, and the two calibrated log
+every round each classifier labels all documents without a label, and those it is surest of become training data of
+the other one. A part of the labels is kept aside: on it each view is calibrated, and the two calibrated log
 odds are combined by a last logistic fit. All documents are then scored by both views.
 
-The fit uses at most `labelled` labelled documents, at least half of that room open to either class, and `pool`
-others, those of the smallest hashes; their features are small and come to the driver. Both classes are dealt into
+The fit uses at most `labelled` labelled documents, those of the smallest hashes, at least half of that room open to
+either class. In each of the `ROUNDS` rounds Spark scores every document, and of those without a label each view passes on
+the `PASSED_ON` surest of either kind (twice, three times as many in later rounds), if sure enough (`SURE`). So the
+driver holds the features of a bounded number of rows, chosen out of the whole table. Both classes are dealt into
 the part kept aside, and there each counts as often as it stands among all labels of documents. Scoring covers
 every row and the whole of every text.
 
 Null texts count as empty. Labels that are null are left out; an id with several labels takes the majority,
 good among equals; labels of ids that are not in the documents are left out. With fewer than two labels of either
 kind (one to fit on, one kept aside) every document gets the share of good ones (1 without any).
-An id with several texts is used once in the fit; repeated rows get equal scores.
+Of an id with several rows the one with the smallest hash is fitted as labelled; among rows without a label each
+different one may be passed on. Ties go by hashes, so the fit does not hang on how rows are partitioned. Repeated rows get equal scores.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.arrays import Flat, groups, mix, repeated
@@ -32,7 +37,6 @@ from fleetgauge.llm.tables import add_columns
 from fleetgauge.session import written
 
 LABELLED = 4000
-POOL = 4000
 ROUNDS = 3
 SURE = 0.97  # calibrated probability from which a pseudo-label is passed on
 PASSED_ON = 400  # most pseudo-labels of either kind a view gives away in a round
@@ -185,10 +189,33 @@ class CoModel:
         return sigmoid(a), sigmoid(b), sigmoid(j[0] * a + j[1] * b + j[2])
 
 
+Fitted = list[tuple[np.ndarray, tuple[float, float]]]  # weights and calibration of the content and the metadata view
+Given = list[tuple[Sparse, np.ndarray]]  # rows and pseudo-labels for the content and the metadata view
+
+
+def surest_rows(views: list[Sparse], pool: np.ndarray, fitted: Fitted, most: int) -> Given:
+    """What each view is given by the other one: the `most` surest rows of either kind out of `pool`."""
+    given = []
+    for mine, other in ((0, 1), (1, 0)):
+        w, (a, b) = fitted[other]
+        p = sigmoid(a * views[other].take(pool).dot(w) + b)
+        chosen = {}
+        for kind, sure in ((1, p), (0, 1 - p)):
+            order = np.argsort(-sure, kind="stable")[:most]
+            chosen |= {int(k): kind for k in order if sure[k] >= SURE}
+        picked = np.array(sorted(chosen), np.int64)
+        given.append((views[mine].take(pool[picked]), np.array([chosen[int(k)] for k in picked], np.int64)))
+    return given
+
+
 def co_train(
-    content: Sparse, meta: Sparse, label: np.ndarray, rounds: int = ROUNDS, stands_for: tuple[float, float] = (1.0, 1.0)
+    content: Sparse, meta: Sparse, label: np.ndarray, rounds: int = ROUNDS, stands_for: tuple[float, float] = (1.0, 1.0),
+    surest: Callable[[Fitted, int], Given] | None = None,
 ) -> CoModel:
-    """`label`: 1 good, 0 bad, -1 not labelled (the pool). `stands_for`: labels that one bad, one good row stands for."""
+    """`label`: 1 good, 0 bad, -1 not labelled. `stands_for`: labels that one bad, one good row stands for.
+
+    `surest` gives the pseudo-labels of a round (by default, of the rows without a label).
+    """
     known = np.flatnonzero(label >= 0)
     prior = float(np.average(label[known], weights=np.take(stands_for, label[known]))) if len(known) else 1.0
     none = CoModel(None, None, (1.0, 0.0), (1.0, 0.0), (0.5, 0.5, 0.0), prior)
@@ -197,28 +224,24 @@ def co_train(
     if any(len(set(label[x].tolist())) < 2 for x in (aside, base)):
         return none
     often = np.take(stands_for, label[aside])
-    pool = np.flatnonzero(label < 0)
     views = [(content, N_CONTENT), (meta, N_META)]
-    extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels a view was given by the other
-    fitted = []
+    if surest is None:
+        pool = np.flatnonzero(label < 0)
+        surest = lambda fitted, most: surest_rows([content, meta], pool, fitted, most)
+    given: Given | None = None
+    fitted: Fitted = []
     for step in range(rounds + 1):
         fitted = []
-        for (x, size), given in zip(views, extra, strict=True):
-            rows = np.concatenate([base, np.array(list(given), np.int64)])
-            y = np.concatenate([label[base], np.array(list(given.values()))]).astype(float)
+        for v, (x, size) in enumerate(views):
+            rows, y = x.take(base), label[base].astype(float)
+            if given is not None:
+                rows, y = Sparse.stack([rows, given[v][0]]), np.concatenate([y, given[v][1]])
             share = y.mean()
-            weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * np.where(np.arange(len(rows)) < len(base), 1.0, 0.5)
-            w = fit_logistic(x.take(rows), y, weight, size)
+            weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * np.where(np.arange(len(y)) < len(base), 1.0, 0.5)
+            w = fit_logistic(rows, y, weight, size)
             fitted.append((w, calibrate(x.take(aside).dot(w), label[aside].astype(float), often)))
-        if step == rounds or not len(pool):
-            break
-        for v, other in ((0, 1), (1, 0)):
-            w, (a, b) = fitted[v]
-            p = sigmoid(a * views[v][0].take(pool).dot(w) + b)
-            for kind, sure in ((1, p), (0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")
-                chosen = [k for k in order[: PASSED_ON * (step + 1)].tolist() if sure[k] >= SURE]
-                extra[other].update({int(pool[k]): kind for k in chosen})
+        if step < rounds:
+            given = surest(fitted, PASSED_ON * (step + 1))
     (wc, lc), (wm, lm) = fitted
     a = lc[0] * content.take(aside).dot(wc) + lc[1]
     b = lm[0] * meta.take(aside).dot(wm) + lm[1]
@@ -234,47 +257,90 @@ def _features(batch: pa.RecordBatch, text: str, source: str, lang: str) -> tuple
     return content_features(texts), meta_features(texts, get(source), get(lang))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoModel:
-    """Fits both views on a bounded sample. `labels`: doc_id, quality (1 good, 0 bad)."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
-        (F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("_label")
-    )
-    known = written(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
-    n_of = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    n_bad, n_good = n_of.get(0, 0), n_of.get(1, 0)
-    bad = min(n_bad, max(labelled // 2, labelled - n_good))
-    good = min(n_good, labelled - bad)
-    first = lambda kind, n: known.where(F.col("_label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    some = first(0, bad).unionByName(first(1, good))
-    ids = docs.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left_anti")
-    rest = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).withColumn("_label", F.lit(-1))
-    chosen = F.broadcast(some.unionByName(rest))  # at most `labelled` + `pool` rows
-    picked = docs.select("doc_id", "text", "source", "lang").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+def _of_row() -> Column:
+    """Hash that tells rows of one id apart; a null differs from an empty text."""
+    return F.xxhash64(*[x for c in ("text", "source", "lang") for x in (F.col(c), F.col(c).isNull())])
+
+
+def _featured(rows: DataFrame, order: list[str]) -> tuple[pd.DataFrame, Sparse, Sparse]:
+    """Other columns and both views' features of a bounded number of rows, on the driver in a fixed order."""
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         c, m = _features(batch, "text", "source", "lang")
         out = {}
         for name, x in (("c", c), ("m", m)):
-            order = np.argsort(x.row, kind="stable")
-            ends = np.searchsorted(x.row[order], np.arange(x.n + 1))
-            col, val = x.col[order].astype(np.int32), x.val[order].astype(np.float32)
+            places = np.argsort(x.row, kind="stable")
+            ends = np.searchsorted(x.row[places], np.arange(x.n + 1))
+            col, val = x.col[places].astype(np.int32), x.val[places].astype(np.float32)
             out[f"{name}_col"] = [col[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             out[f"{name}_val"] = [val[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return out
 
     kinds = {k: "binary" for k in ("c_col", "c_val", "m_col", "m_val")}
-    rows = add_columns(picked, work, kinds, "text", "source", "lang").select("doc_id", "_label", *kinds).toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+    table = add_columns(rows, work, kinds, "text", "source", "lang").drop("text", "source", "lang").toPandas()
+    table = table.sort_values(order, kind="stable")
 
-    def table(name: str) -> Sparse:
-        cols = [np.frombuffer(b, np.int32) for b in rows[f"{name}_col"]]
-        vals = [np.frombuffer(b, np.float32) for b in rows[f"{name}_val"]]
+    def view(name: str) -> Sparse:
+        cols = [np.frombuffer(b, np.int32) for b in table[f"{name}_col"]]
+        vals = [np.frombuffer(b, np.float32) for b in table[f"{name}_val"]]
         join = lambda xs, kind: np.concatenate([*xs, np.zeros(0, kind)])
         row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
         return Sparse(len(cols), row.astype(np.int64), join(cols, np.int32).astype(np.int64), join(vals, np.float32).astype(np.float64))
 
+    return table, view("c"), view("m")
+
+
+def _surest(docs: DataFrame, known: DataFrame, fitted: Fitted, most: int) -> Given:
+    """As `surest_rows`, out of all documents whose id has no label, scored by Spark."""
+    sent = docs.sparkSession.sparkContext.broadcast(fitted)  # N_CONTENT + N_META weights
+
+    def work(batch: pa.RecordBatch) -> dict[str, object]:
+        both = zip(sent.value, _features(batch, "text", "source", "lang"), strict=True)
+        return {f"_p{v}": sigmoid(a * x.dot(w) + b) for v, ((w, (a, b)), x) in enumerate(both)}
+
+    kinds = {"_p0": "double", "_p1": "double"}
+    scored = add_columns(docs, work, kinds, "text", "source", "lang").select("doc_id", "_h", *kinds)
+    sure = F.greatest("_p0", "_p1", 1 - F.col("_p0"), 1 - F.col("_p1")) >= SURE
+    scored = written(scored.where(sure).distinct().join(known.select("doc_id"), "doc_id", "left_anti"), "sure")
+    picks = []
+    for v in (0, 1):
+        for kind in (1, 0):
+            p = F.col(f"_p{v}") if kind else 1 - F.col(f"_p{v}")
+            best = scored.where(p >= SURE).orderBy(p.desc(), F.xxhash64("doc_id"), "doc_id", "_h").limit(most)
+            picks.append(best.select("doc_id", "_h", F.struct(F.lit(1 - v).alias("to"), F.lit(kind).alias("kind")).alias("_pick")))
+    chosen = picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3])
+    chosen = chosen.groupBy("doc_id", "_h").agg(F.sort_array(F.collect_list("_pick")).alias("_picks"))  # at most 4 a row
+    rows = docs.join(F.broadcast(chosen), ["doc_id", "_h"]).dropDuplicates(["doc_id", "_h"])  # at most 4 * `most` rows; equal ones alike
+    table, content, meta = _featured(rows, ["doc_id", "_h"])
+    given = []
+    for v, x in enumerate((content, meta)):
+        labels = [[p["kind"] for p in picks if p["to"] == v] for picks in table["_picks"]]
+        held = np.array([k for k, found in enumerate(labels) if found], np.int64)
+        given.append((x.take(held), np.array([labels[k][0] for k in held], np.int64)))
+    return given
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoModel:
+    """Fits both views. `labels`: doc_id, quality (1 good, 0 bad)."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
+        (F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("_label")
+    )
+    known = written(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
+    n_of = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    n_bad, n_good = n_of.get(0, 0), n_of.get(1, 0)
+    bad = min(n_bad, max(labelled // 2, labelled - n_good))
+    good = min(n_good, labelled - bad)
+    first = lambda kind, n: known.where(F.col("_label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = F.broadcast(first(0, bad).unionByName(first(1, good)))  # at most `labelled` rows
+    texts = docs.where("doc_id is not null").select("doc_id", "text", "source", "lang", _of_row().alias("_h"))
+    one = F.min_by(F.struct("text", "source", "lang"), "_h").alias("_one")
+    picked = texts.join(chosen, "doc_id").groupBy("doc_id", "_label").agg(one).select("doc_id", "_label", "_one.*")
+    rows, content, meta = _featured(picked, ["doc_id"])
     stands_for = (n_bad / max(bad, 1), n_good / max(good, 1))
-    return co_train(table("c"), table("m"), rows["_label"].to_numpy(np.int64), stands_for=stands_for)
+    return co_train(
+        content, meta, rows["_label"].to_numpy(np.int64), stands_for=stands_for,
+        surest=lambda fitted, most: _surest(texts, known, fitted, most),
+    )
 
 
 def score(docs: DataFrame, model: CoModel, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:

@@ -101,6 +101,38 @@ def test_a_rare_class_is_fitted_and_kept_aside(spark):
     assert all(r.kept == (r.doc_id % 50 != 7) for r in rows)
 
 
+def test_the_fit_does_not_hang_on_partitions_and_takes_its_surest_from_all_rows(spark, monkeypatch):
+    """Rows of one id with several texts, repeated rows, nulls; the pseudo-labels equal those picked from all rows at once."""
+    monkeypatch.setattr(cotraining, "PASSED_ON", 9)
+    bad, good = "click here to buy cheap now " * 5, "The long report says what was found there. " * 5
+    rows = []
+    for k in range(240):
+        rows.append((k, (bad if k % 3 == 0 else good) + f"{k} words", "web" if k % 3 == 0 else "book", "en"))
+        if k % 4 == 0:
+            rows += [(k, f"another text {j} of number {k}", "web", None) for j in range(3)] + rows[-1:]
+    rows += [(300, None, None, None), (300, "", None, None), (None, good, "book", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 3 != 0).cast("int").alias("quality"))
+    asked = []
+    real = cotraining._surest
+    monkeypatch.setattr(cotraining, "_surest", lambda *a: asked.append((a[2], a[3], real(*a))) or asked[-1][2])
+    models = []
+    for parts in (1, 5, 13):
+        spread = docs.repartition(parts, F.rand(parts))
+        models.append(cotraining.fit(spread, labels))
+    assert all(np.array_equal(m.content, models[0].content) and np.array_equal(m.meta, models[0].meta) and m.joint == models[0].joint for m in models)
+    assert len(asked) == 3 * cotraining.ROUNDS
+    free = sorted({r for r in rows if r[0] is not None and r[0] >= 60}, key=str)
+    content, meta = cotraining.content_features([r[1] for r in free]), cotraining.meta_features([r[1] for r in free], [r[2] for r in free], [r[3] for r in free])
+    for fitted, most, given in asked:
+        for mine, other in ((0, 1), (1, 0)):
+            w, (a, b) = fitted[other]
+            p = cotraining.sigmoid(a * (content, meta)[other].dot(w) + b)
+            got = given[mine][1]
+            assert (got == 1).sum() == min(most, (p >= cotraining.SURE).sum()) and (got == 0).sum() == min(most, (1 - p >= cotraining.SURE).sum())
+            assert given[mine][0].n == len(got)
+
+
 def test_views_teach_each_other():
     r = np.random.default_rng(4)
     n = 600
