@@ -167,3 +167,18 @@ def test_readings_of_one_step_meet_before_they_move(spark):
     assert plan.count("partial_max") == 1
     below = plan[plan.index("partial_max") :]
     assert plan.index("Exchange hashpartitioning(node") < plan.index("partial_max") and "REPARTITION_BY_COL" not in below
+
+
+def test_unfolded_steps_are_neither_joined_nor_broadcast(spark):
+    hour = lambda h: START + timedelta(hours=h)
+    far = 3 * 4096 + 5
+    rows = [("a", hour(0), 1.0), ("a", hour(4096), 2.0), ("a", hour(4095), None), ("b", hour(far), 3.0), (None, hour(7), 4.0), ("c", None, 5.0)]
+    grid = time_grid(spark.createDataFrame(rows, "node string, ts timestamp, p double"), ["p"], 3600)
+    plan = grid.where(F.coalesce("p", F.lit(0.0)) > 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # the few bytes of the axis before it unfolds would let it be sent whole to every task
+    got = {(r.node, r.i): r.p for r in grid.collect()}
+    assert grid.count() == len(got) == 4 * (far + 1)
+    assert {k: p for k, p in got.items() if p is not None} == {("a", 0): 1.0, ("a", 4096): 2.0, ("b", far): 3.0}
+    assert {r.ts for r in grid.where("i = 4097").collect()} == {hour(4097)}
+    filled = time_grid(spark.createDataFrame(rows, "node string, ts timestamp, p double"), ["p"], 3600, 0.0)
+    assert filled.where("p = 0").count() == 4 * (far + 1) - 3
