@@ -17,7 +17,7 @@ from fleetgauge.operators import regions as R
 from fleetgauge.operators import scale as SC
 from fleetgauge.operators import stats as ST
 from fleetgauge.operators import windows as WN
-from fleetgauge.operators.intervals import overlapping
+from fleetgauge.operators.intervals import overlap_totals
 from fleetgauge.operators.reconstruct import apply_profile, fit_profile
 from fleetgauge.plans.realtime import profile_errors
 from fleetgauge.schema import CHANNELS
@@ -208,8 +208,7 @@ def _(spark, sf):
     lo, hi = F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")
     seen = events(spark, sf).groupBy(F.col("user_id").cast("string").alias("machine")).agg(lo.alias("lo"), hi.alias("hi"))
     ever = events(spark, sf).agg((lo - F.expr("INTERVAL 10 YEARS")).alias("lo"), hi.alias("hi")).withColumn("machine", F.lit("all"))
-    pairs = overlapping(seen.unionByName(ever), _periods(spark, sf), ("lo", "hi"), ("start_ts", "end_ts"))
-    return pairs.groupBy("machine").agg(F.count("*").alias("n"), F.min("start_ts").alias("first_start"))
+    return overlap_totals(seen.unionByName(ever), _periods(spark, sf), ("lo", "hi"), ("start_ts", "end_ts"), "machine", "first_start")
 
 
 @query("hosts_blacklist", TEL + f"SELECT node, ts, {r('power')} AS power FROM tel WHERE node NOT IN {_HOSTS}")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetgauge.session import written
+
 GRAIN = 3600
 
 
@@ -75,6 +77,41 @@ def overlapping(
     return inside.select(*columns).unionByName(behind.select(*columns))
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], by: str, first: str) -> DataFrame:
+    """Per value of the left column `by`: how many pairs `overlapping` gives, `n`, and the earliest start `first` of a right interval in them.
+
+    No pair is laid out: a left interval meets all right ones that begin by its end, but for those that end before its start.
+    So starts, ends and the two ends of the left intervals are put in order of time, and running counts tell the rest.
+    """
+    (a, b), (c, d) = left_ends, right_ends
+    proper_left, proper_right = left.where(F.col(a) <= F.col(b)), right.where(F.col(c) <= F.col(d))
+    none, kind_of = F.lit(None), left.schema[by].dataType
+
+    def points(side: DataFrame, t: str, kind: int, name: Column, start: Column, until: Column) -> DataFrame:
+        at = [F.col(t).cast("timestamp").alias("_t"), F.lit(kind).alias("_kind"), name.cast(kind_of).alias("_by")]
+        return side.select(*at, start.cast("timestamp").alias("_c"), until.cast("timestamp").alias("_hi"), F.rand(0).alias("_x"))
+
+    # Of one moment: starts, starts and ends of left intervals, ends.
+    laid = points(proper_right, c, 0, none, none, none).unionByName(points(proper_left, a, 1, F.col(by), none, F.col(b)))
+    laid = laid.unionByName(points(proper_left, b, 2, F.col(by), none, none)).unionByName(points(proper_right, d, 3, none, F.col(c), none))
+    placed = written(laid.orderBy("_t", "_kind", "_x").withColumn("_p", F.spark_partition_id()), "moments")
+    begun, ended = (F.col("_kind") == 0).cast("long"), (F.col("_kind") == 3).cast("long")
+    parts = placed.groupBy("_p").agg(F.sum(begun).alias("_bn"), F.sum(ended).alias("_en"), F.min("_c").alias("_c"))
+    # A row per partition of the sorted data.
+    order = W.orderBy("_p")
+    ahead, behind = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    rest = parts.select("_p", F.sum("_bn").over(ahead).alias("_b0"), F.sum("_en").over(ahead).alias("_e0"), F.min("_c").over(behind).alias("_c0"))
+    inside = W.partitionBy("_p").orderBy("_t", "_kind", "_x")
+    back = W.partitionBy("_p").orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_x"))  # a frame to the end is done anew for each row
+    so_far, from_here = (order.rowsBetween(W.unboundedPreceding, W.currentRow) for order in (inside, back))
+    counted = placed.withColumns({"_bn": F.sum(begun).over(so_far), "_en": F.sum(ended).over(so_far), "_cn": F.min("_c").over(from_here)})
+    counted = counted.where(F.col("_kind").isin(1, 2)).join(F.broadcast(rest), "_p")
+    n = F.when(F.col("_kind") == 2, F.col("_bn") + F.coalesce("_b0", F.lit(0))).otherwise(-F.col("_en") - F.coalesce("_e0", F.lit(0)))
+    earliest = F.least("_cn", "_c0")
+    out = counted.groupBy(F.col("_by").alias(by)).agg(F.sum(n).alias("n"), F.min(F.when(earliest <= F.col("_hi"), earliest)).alias(first))
+    return out.where(F.col("n") > 0)
+
+
 def outside(
     df: DataFrame, periods: DataFrame, start: str = "start_ts", end: str = "end_ts", ts: str = "ts",
     keys: list[str] | None = None, grain: int = GRAIN,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.operators.filters import remove_period_table, remove_periods
-from fleetgauge.operators.intervals import around, cover, overlapping
+from fleetgauge.operators.intervals import around, cover, overlap_totals, overlapping
 from tests.data import by
 
 START = datetime(1969, 12, 30)  # buckets before 1970 have negative numbers
@@ -96,3 +96,19 @@ def test_the_table_form_agrees_with_the_list(spark):
     gaps = [("1970-01-03", "1970-01-05"), ("1970-01-05", "1970-01-06 07:00:00")]
     table = spark.createDataFrame(gaps, "a string, b string").select(F.col("a").cast("timestamp").alias("start_ts"), F.col("b").cast("timestamp").alias("end_ts"))
     assert by(remove_period_table(df, table), "id") == by(remove_periods(df, gaps), "id")
+
+
+def test_totals_of_overlaps_need_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    spans, other = _spans(rng, 80), _spans(rng, 60)
+    right = spark.createDataFrame([*spans, (900, "n0", None, START)], "id long, node string, start_ts timestamp, end_ts timestamp").drop("node")
+    left = spark.createDataFrame([(f"m{k % 20}", a, b) for k, _, a, b in other], "m string, a timestamp, b timestamp")
+    totals = overlap_totals(left, right, ("a", "b"), ("start_ts", "end_ts"), "m", "first_start")
+    assert "NestedLoop" not in totals._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for k, _, a, b in other:
+        met = [c for _, _, c, d in spans if a <= b and c <= d and a <= d and c <= b]
+        if met:
+            n, first = want.get(f"m{k % 20}", (0, met[0]))
+            want[f"m{k % 20}"] = n + len(met), min(first, *met)
+    assert {r.m: (r.n, r.first_start) for r in totals.collect()} == want
