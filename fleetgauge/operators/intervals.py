@@ -118,11 +118,14 @@ def outside(
 ) -> DataFrame:
     """Rows whose time lies in no period (of their own keys, if any are named). Rows without a time stay.
 
-    Rows are not multiplied: only the distinct buckets they lie in meet the dyadic buckets of the periods. Rows of a
+    With keys, rows and starts of periods lie in order of time in blocks of their keys, and a row goes when the latest end
+    so far is not ahead of it; each row is sent once. Without keys rows are not multiplied: only the distinct buckets they lie in meet the dyadic buckets of the periods. Rows of a
     bucket that some period holds from end to end go by an anti join on the bucket; the rest meet the at most
     two ragged ends of each period, put together per bucket so that none overlap.
     """
-    keys = keys or []
+    if keys:
+        return _outside_own(df, periods, start, end, ts, keys, grain)
+    keys = []
     micros = F.lit(grain * 1_000_000)
     spans = periods.select(*keys, F.unix_micros(F.col(start).cast("timestamp")).alias("_s"), F.unix_micros(F.col(end).cast("timestamp")).alias("_e"))
     spans = spans.where(F.col("_s") <= F.col("_e"))
@@ -149,3 +152,40 @@ def outside(
     for n, k in enumerate(keys):
         on = on & (F.col(k) == F.col(f"_k{n}"))
     return placed.join(gone, [*keys, "_b"], "left_anti").join(merged, on, "left_anti").select(*df.columns)
+
+
+_SPAN = 1024  # buckets in a block of time
+_LONG = 64  # blocks of a period from which on it pays to look up the time the rows span
+
+
+def _outside_own(df: DataFrame, periods: DataFrame, start: str, end: str, ts: str, keys: list[str], grain: int) -> DataFrame:
+    micros = grain * 1_000_000 * _SPAN
+    spans = periods.select(*keys, F.unix_micros(F.col(start).cast("timestamp")).alias("_s"), F.unix_micros(F.col(end).cast("timestamp")).alias("_e"))
+    for k in keys:
+        spans = spans.where(F.col(k).isNotNull())  # a row without a key has no period
+    spans = spans.where(F.col("_s") <= F.col("_e"))
+    order = W.partitionBy(*keys).orderBy("_s", "_e")
+    seen = F.max("_e").over(order.rowsBetween(W.unboundedPreceding, -1))
+    # A period inside those ahead of it adds nothing, another one only what lies behind their end.
+    spans = spans.withColumn("_m", seen).where(F.col("_m").isNull() | (F.col("_e") > F.col("_m")))
+    spans = spans.withColumn("_s", F.greatest("_s", F.col("_m") + 1)).drop("_m")
+    first, last = F.floor(F.col("_s") / micros), F.floor(F.col("_e") / micros)
+    longest = spans.agg(F.max(last - first)).first()[0]
+    if longest is not None and longest > _LONG:
+        at = F.unix_micros(F.col(ts).cast("timestamp"))
+        low, high = df.agg(F.floor(F.min(at) / micros), F.floor(F.max(at) / micros)).first()
+        if low is None:
+            return df
+        first, last = F.greatest(first, F.lit(low)), F.least(last, F.lit(high))
+        spans = spans.where(first <= last)
+    spans = spans.withColumn("_blk", F.explode(F.sequence(first, last)))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumns({"_t": at, "_kind": F.lit(1), "_e": F.lit(None).cast("long"), "_blk": F.floor(at / micros)})
+    ends = spans.select(
+        *keys, *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in keys],
+        F.col("_s").alias("_t"), F.lit(0).alias("_kind"), "_e", "_blk",
+    )
+    laid = rows.unionByName(ends)
+    so_far = W.partitionBy(*keys, "_blk").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = laid.withColumn("_e", F.max("_e").over(so_far)).where((F.col("_kind") == 1) & (F.col("_e").isNull() | (F.col("_e") < F.col("_t"))))
+    return held.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields])

@@ -112,3 +112,19 @@ def test_totals_of_overlaps_need_no_pairs(spark):
             n, first = want.get(f"m{k % 20}", (0, met[0]))
             want[f"m{k % 20}"] = n + len(met), min(first, *met)
     assert {r.m: (r.n, r.first_start) for r in totals.collect()} == want
+
+
+def test_rows_of_a_machine_meet_its_periods_without_a_join(spark):
+    """Every row is sent once: it met a row for each level of buckets, and several joins."""
+    r = np.random.default_rng(8)
+    start = datetime(2024, 1, 1)
+    name = lambda: [None, "a", "b", "c"][int(r.integers(0, 4))]
+    rows = [(name(), start + timedelta(minutes=int(m)) if m % 50 else None, int(m)) for m in r.integers(0, 400_000, 400)]
+    spans = [(name(), start + timedelta(minutes=int(m)), start + timedelta(minutes=int(m + n))) for m, n in zip(r.integers(0, 400_000, 60), r.integers(-500, 9_000, 60), strict=True)]
+    for more in ([], [("b", start - timedelta(days=20_000), start + timedelta(days=30))]):
+        df = spark.createDataFrame(rows, "node string, ts timestamp, x long")
+        periods = spark.createDataFrame(spans + more, "node string, start_ts timestamp, end_ts timestamp")
+        out = remove_period_table(df, periods, ["node"])
+        assert "Join" not in out._jdf.queryExecution().toString() and out.schema == df.schema
+        want = [x for x in rows if x[1] is None or not any(p[0] is not None and p[0] == x[0] and p[1] <= x[1] <= p[2] for p in spans + more)]
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want)) and len(want) < len(rows)
