@@ -297,13 +297,11 @@ def _(spark, sf):
     return SC.join_scale(SC.to_long(tel, ["node", "ts"], CHANNELS), scale).select("node", "ts", "channel", "x")
 
 
-def _elements(spark, sf, window=12, slide=12):
-    scaled = SC.apply_scale(faulty(spark, sf), SC.fit_scale(faulty(spark, sf), CHANNELS), CHANNELS)
+def _rebuilt_windows(spark, sf, window=12, slide=12):
+    tel = faulty(spark, sf)
+    scaled = SC.apply_scale(tel, SC.fit_scale(tel, CHANNELS), CHANNELS)
     both = apply_profile(scaled, fit_profile(scaled, CHANNELS))
-    left = WN.sliding_windows(both, CHANNELS, window, slide)
-    hat = both.select("node", "ts", "i", *[F.col(f"{c}_hat").alias(c) for c in CHANNELS])
-    right = WN.sliding_windows(hat, CHANNELS, window, slide)
-    return E.window_elements(left, CHANNELS), E.window_elements(right, CHANNELS)
+    return WN.sliding_windows(both, [*CHANNELS, *[f"{c}_hat" for c in CHANNELS]], window, slide)
 
 
 _PAIRS = " UNION ALL ".join(
@@ -313,12 +311,12 @@ _PAIRS = " UNION ALL ".join(
 
 @query("orig_vs_recon", with_("points") + _PAIRS)
 def _(spark, sf):
-    return E.orig_vs_recon(*_elements(spark, sf))
+    return E.orig_vs_recon(_rebuilt_windows(spark, sf), CHANNELS)
 
 
 @query("reconstruction_report", with_("points") + f"SELECT * FROM ({_PAIRS}) WHERE win BETWEEN 10 AND 19")
 def _(spark, sf):
-    both = E.orig_vs_recon(*_elements(spark, sf))
+    both = E.orig_vs_recon(_rebuilt_windows(spark, sf), CHANNELS)
     return both.where(F.col("win").between(10, 19))
 
 

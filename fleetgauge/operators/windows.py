@@ -2,40 +2,55 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetgauge.functions.blocks import BLOCK, is_own, with_halo
+from fleetgauge.functions.blocks import BLOCK, groups_of, over_blocks, with_halo
 from fleetgauge.schema import SLIDE, WINDOW
 
+_CELLS = 1 << 22  # values of windows made at once
+
 
 def sliding_windows(
     df: DataFrame, channels: list[str], window: int = WINDOW, slide: int = SLIDE, block: int = BLOCK
 ) -> DataFrame:
     """Window `win` holds steps [win*slide, win*slide+window) of one machine, an array per channel.
 
-    Windows that lack a step, or a value in any channel, are left out.
+    Windows that lack a step, or a value in any channel, are left out. The windows of many blocks are cut in one call.
     Output grows by window/slide; where only errors are wanted use the rolling forms instead.
     """
-    order = W.partitionBy("node", "_blk").orderBy("i")
-    frame = order.rangeBetween(-(window - 1), 0)
-    whole = ((F.col("i") - (window - 1)) % slide == 0) & is_own("i", block) & (F.col("_rows") == window)
-    for c in channels:
-        whole = whole & (F.size(c) == window)  # collect_list passes over nulls
-    return (
-        with_halo(df.select("node", "ts", "i", *channels), "i", window - 1, block)
-        .select(
-            "node",
-            "i",
-            "_blk",
-            F.count("*").over(frame).alias("_rows"),
-            F.first("ts").over(frame).alias("start_ts"),
-            *[F.collect_list(c).over(frame).alias(c) for c in channels],
-        )
-        .where(whole)
-        .select("node", (F.floor((F.col("i") - (window - 1)) / slide)).cast("int").alias("win"), "start_ts", *channels)
-    )
+    kept = df.select("node", "ts", "i", *channels).where(F.col("i").isNotNull())
+    arrays = [T.StructField(c, T.ArrayType(df.schema[c].dataType)) for c in channels]
+    fields = [T.StructField("node", df.schema["node"].dataType), T.StructField("win", T.IntegerType())]
+    schema = T.StructType([*fields, T.StructField("start_ts", df.schema["ts"].dataType), *arrays])
+
+    def run(rows: pa.Table, begins: np.ndarray) -> pa.Table:
+        steps = rows["i"].to_numpy().astype(np.int64)
+        group = groups_of(rows, begins)
+        # One axis for all blocks: a step of another block is always out of reach.
+        low = np.minimum.reduceat(steps, begins)
+        room = np.maximum.reduceat(steps, begins) - low + 1 + window
+        place = steps + (np.cumsum(room) - room - low)[group]
+        known = np.ones(len(rows), dtype=bool)
+        for c in channels:
+            known &= pc.is_valid(rows[c]).to_numpy()
+        total = np.append(0, np.cumsum(known))
+        last = np.flatnonzero((steps // block == rows["_blk"].to_numpy()) & ((steps - (window - 1)) % slide == 0))
+        first, end = np.searchsorted(place, place[last] - window, "right"), np.searchsorted(place, place[last], "right")
+        whole = (end - first == window) & (total[end] - total[first] == window)
+        first, last = first[whole], last[whole]
+        cells = pa.array((first[:, None] + np.arange(window)).ravel())
+        edges = pa.array(np.arange(len(first) + 1, dtype=np.int32) * window)
+        lists = [pa.ListArray.from_arrays(edges, rows[c].combine_chunks().take(cells)) for c in channels]
+        win = ((steps[last] - (window - 1)) // slide).astype(np.int32)
+        return pa.table([rows["node"].take(pa.array(last)), win, rows["ts"].take(pa.array(first)), *lists], names=schema.names)
+
+    copies = max(window * len(channels) // slide, 1)  # a call holds what it makes
+    return over_blocks(with_halo(kept, "i", window - 1, block), ["node"], "i", run, schema, window, max(_CELLS // copies, 1))
 
 
 def window_at(windows: DataFrame, win: int) -> DataFrame:
