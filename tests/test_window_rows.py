@@ -44,6 +44,12 @@ def test_both_sides_of_an_element_are_not_joined(spark):
     assert got == want and both.count() == 2 * len(want)
 
 
+def test_elements_without_a_machine_have_no_other_side(spark):
+    df = _fleet(spark).withColumns({"node": F.when(F.col("node") != "n0", F.col("node")), "a_hat": F.lit(0.0)})
+    wins = sliding_windows(df, ["a", "a_hat"], 4, 4)
+    assert wins.where("node IS NULL").count() == 3 and E.orig_vs_recon(wins, ["a"]).count() == 29 * 3 * 4
+
+
 def test_a_model_gets_the_windows_of_many_machines(spark):
     """A call per machine would cost more than the work where machines have few steps."""
     df = _fleet(spark).coalesce(1)
