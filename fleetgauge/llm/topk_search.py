@@ -92,25 +92,33 @@ class Block:
         return self.places[self.starts[k] : self.starts[k + 1]], self.weights[self.starts[k] : self.starts[k + 1]]
 
 
-_TILE = 1024  # places scored at once, so that the scores stay in the processor's cache
+_TILE = 128  # places scored at once, so that the scores stay in the processor's cache
+_FULL = 4  # a term that is in at least one of so many rows, on both sides, is laid out with 0 for the others
 
 
 def scores(queries: Block, candidates: Block) -> np.ndarray:
     """Inner products, a row per query: each shared term scatters its weighted postings."""
-    out = np.zeros((len(candidates.ids), len(queries.ids)), np.int64)
+    n, asked = len(candidates.ids), len(queries.ids)
+    out = np.zeros((n, asked), np.int64)
     shared, at_q, at_c = np.intersect1d(queries.terms, candidates.terms, return_indices=True)
-    everyone = np.arange(len(queries.ids))
-    terms = [(*queries.posting(q), *candidates.posting(c)) for q, c in zip(at_q, at_c, strict=True)]
-    for lo in range(0, len(candidates.ids), _TILE):
-        hi = min(lo + _TILE, len(candidates.ids))
+    terms, full = [], []
+    for q, c in zip(at_q, at_c, strict=True):
+        (q_places, q_weights), (places, weights) = queries.posting(q), candidates.posting(c)
+        if _FULL * len(q_places) < asked or _FULL * len(places) < n:
+            terms.append((q_places, q_weights, places, weights))
+            continue
+        of_q, of_c = np.zeros((1, asked), np.int64), np.zeros((n, 1), np.int64)
+        of_q[0, q_places], of_c[places, 0] = q_weights, weights
+        full.append((of_q, of_c))
+    add = np.empty((_TILE, asked), np.int64)
+    for lo in range(0, n, _TILE):
+        hi = min(lo + _TILE, n)
         tile = out[lo:hi]
+        for of_q, of_c in full:
+            tile += np.multiply(of_c[lo:hi], of_q, out=add[: hi - lo])
         for q_places, q_weights, places, weights in terms:
             a, b = np.searchsorted(places, [lo, hi])
-            add = weights[a:b, None] * q_weights[None, :]
-            if len(q_places) == len(everyone) and b - a == hi - lo:  # the term is in every row
-                tile += add
-            else:
-                tile[np.ix_(places[a:b] - lo, q_places)] += add
+            tile[np.ix_(places[a:b] - lo, q_places)] += weights[a:b, None] * q_weights[None, :]
     return out.T
 
 
@@ -137,24 +145,31 @@ def top_k(
     asked = _usable(df.where(is_query), vec_id, vector)
     candidates = pack_blocks(rows, CANDIDATES, scale)
     queries = pack_blocks(asked, QUERIES, scale)
-    n_blocks = candidates.agg(F.coalesce(F.max("block") + 1, F.lit(0))).first()[0]
-    right = candidates.select("block", *[F.col(c).alias(f"c_{c}") for c in ("ids", "has_id", "lengths", "values")])
-    left = queries.select(F.col("block").alias("q_block"), "ids", "has_id", "lengths", "values", F.explode(
-        F.sequence(F.lit(0), F.lit(n_blocks - 1)) if n_blocks else F.array().cast("array<int>")
-    ).alias("block"))
-    # A block of candidates is sent once for each block of queries; its postings are made once in a row.
-    meet = left.join(right, "block").select(
-        "q_block", "block", "ids", "has_id", "lengths", "values", "c_ids", "c_has_id", "c_lengths", "c_values"
+    n_blocks, n_asked = (t.agg(F.coalesce(F.max("block") + 1, F.lit(0))).first()[0] for t in (candidates, queries))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A block of candidates is sent once for each group of query blocks, ahead of them; groups are there to keep all tasks busy.
+    groups = max(1, min(n_asked, -(-tasks // max(n_blocks, 1))))
+    packed = ["ids", "has_id", "lengths", "values"]
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>"))
+
+    right = candidates.select("block", every(groups).alias("group"), F.lit(-1).alias("q_block"), *packed)
+    left = queries.withColumnRenamed("block", "q_block").select(
+        every(n_blocks).alias("block"), F.pmod("q_block", F.lit(groups)).alias("group"), "q_block", *packed
     )
+    # Not a join: queries unfolded over all blocks look small to the planner, and it would broadcast them.
+    meet = right.unionByName(left).repartition(max(tasks, n_blocks * groups), "block", "group").sortWithinPartitions("block", "group", "q_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, block = None, None
+        block = None
         for batch in batches:
             for i in range(batch.num_rows):
-                at, number, *parts = (batch.column(j)[i].as_py() for j in range(batch.num_columns))
-                if number != kept:
-                    kept, block = number, Block(*parts[4:])
-                asking = Block(*parts[:4])
+                at, *parts = (batch.column(j)[i].as_py() for j in range(2, batch.num_columns))
+                if at < 0:
+                    block = Block(*parts)
+                    continue
+                asking = Block(*parts)
                 found = list(best(asking, block, k))
                 yield pa.RecordBatch.from_arrays(
                     [

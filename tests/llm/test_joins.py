@@ -276,3 +276,28 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
     few = df.where(F.col("vec_id").isin(0, 1, 2))
     assert topk_search.digest(few).count() == 2 and topk_search.digest(df.limit(0)).count() == 0
+
+
+def test_top_k_sends_no_unfolded_queries_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "CANDIDATES", 8)
+    df = spark.range(120).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7, F.col("id") % 5).cast("array<double>").alias("embedding"))
+    out = topk_search.top_k(df, F.col("vec_id") % 2 == 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
+    assert out.count() == 60 * 5
+
+
+def test_scores_of_frequent_and_rare_terms_add_up(monkeypatch):
+    monkeypatch.setattr(topk_search, "_TILE", 16)
+    r = np.random.default_rng(2)
+    x = r.integers(-9, 10, (70, 6))
+    x[:, 4] *= r.random(70) < 0.1  # rare among the candidates
+    x[3:, 5] = 0
+
+    def block(rows):
+        return topk_search.Block(
+            np.arange(len(rows)).astype(np.int64).tobytes(), np.ones(len(rows), np.uint8).tobytes(),
+            np.full(len(rows), 6, np.int32).tobytes(), rows.astype(np.int64).tobytes(),
+        )
+
+    assert (topk_search.scores(block(x[:20]), block(x)) == x[:20] @ x.T).all()
